@@ -1,0 +1,29 @@
+"""A bitmap of fixed size over a column of longs, for the executors to filter by."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bits in a bitmap: 4 MB, whatever the data.  With more members than bits it lets
+#: every row pass, which costs time and changes no result.
+BITS = 1 << 25
+PER_BUCKET = 32768
+
+
+def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
+    """The packed bits that are set for the values of ``column``, modulo BITS."""
+    # bitmap_bucket_number counts positions from 1
+    at = F.pmod(F.col(column), F.lit(BITS)) + 1
+    rows = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((BITS // PER_BUCKET, PER_BUCKET // 8), np.uint8)
+    for row in rows.collect():  # BITS / PER_BUCKET rows at most
+        out[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values have their bit set."""
+    at = np.mod(values, BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
