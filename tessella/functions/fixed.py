@@ -194,3 +194,46 @@ RETURN_JSON = "Return JSON with exactly these keys:"
 CAPTION_KEYS_TEXT = "- labels: list containing the phase label\n- caption_pedestrian: one detailed sentence group about the pedestrian\n- caption_vehicle: one detailed sentence group about the vehicle"
 # Keys under which a prediction's text may stand, in order.
 PREDICTION_KEYS = ("predict", "prediction", "response", "output", "generated_text", "text")
+
+# The order of a caption's slots, and the wording that puts a sentence into one.
+SLOTS = ("location", "attention", "behavior", "context", "other")
+SLOT_CONTEXT = ("weather", "brightness", "road", "surface", "asphalt", "traffic", "sidewalk", "roadside", "street light", "environment", "lane")
+SLOT_ATTENTION = ("line of sight", "watch", "aware", "notice", "visual", "look", "gaze", "attention")
+SLOT_LOCATION = (
+    "position", "distance", "near", "close", "far", "front", "left", "right", "diagonal", "perpendicular", "opposite", "height", "wearing",
+    "t-shirt", "shirt", "slacks", "pants", "vehicle is visible", "field of view", "age group",
+)
+SLOT_STRONG_BEHAVIOR = ("speed", "collision", "collided", "brak", "turn", "stopped", "action", "behavior")
+SLOT_BEHAVIOR = ("going", "travel", "walking", "moving", "cross", "standing")
+# Words that don't show that a text supports a sentence.
+UNSUPPORTING = ("pedestrian", "vehicle", "road", "environment", "context", "distance", "positioned", "surface", "with", "from", "that", "this", "were", "around")
+# Colours that may clash in an added sentence.
+CLASH_COLOURS = ("black", "white", "red", "blue", "green", "yellow", "orange", "gray", "grey", "brown", "beige", "navy", "purple", "pink", "cyan")
+# Prompt text that marks a rewrite as unusable.
+REWRITE_ARTIFACTS = ("caption_pedestrian", "caption_vehicle", "return json", "bbox context", "visual grounding note")
+# Facts that templates speak of.
+TEMPLATE_FACTS = (
+    "pedestrian.age_group", "pedestrian.height", "pedestrian.upper_body_type", "pedestrian.upper_body_color", "pedestrian.lower_body_type", "pedestrian.lower_body_color",
+    "pedestrian.body_orientation", "pedestrian.position_relative_to_vehicle", "pedestrian.distance_to_vehicle", "pedestrian.line_of_sight", "pedestrian.visual_status",
+    "pedestrian.awareness_of_vehicle", "pedestrian.action", "pedestrian.fine_grained_action", "pedestrian.direction_of_travel", "pedestrian.speed",
+    "vehicle.position_relative_to_pedestrian", "vehicle.distance_to_pedestrian", "vehicle.field_of_view", "vehicle.action", "vehicle.speed",
+    "environment.weather", "environment.brightness", "road.surface_condition", "road.inclination", "road.surface_type", "road.road_type", "road.lane_count", "road.traffic_volume",
+)
+# Terms and patterns that the learned ranker counts as protected.
+RANKER_TERMS = (
+    "pedestrian", "vehicle", "obstacle", "sidewalk", "roadside strip", "street light", "residential road", "intersection", "signal", "asphalt", "two-way traffic", "one-way traffic",
+    "0 km/h", "5 km/h", "10 km/h", "20s", "30s", "40s", "male", "female", "cloudy", "clear", "bright", "dim", "dry", "wet",
+)
+RANKER_PATTERN = r"\b\d+\s*(?:km/h|cm|meters?)\b"
+RANKER_BAD_TAIL = r"(?i)\b(and|or|with|of|in|on|to|which|that|there is)\.?$"
+
+# Wording of sentences about the surroundings.
+CONTEXT_SENTENCES = ("weather", "brightness", "road surface", "traffic volume", "sidewalk", "asphalt")
+# Attributes and what a spoilt caption says instead, in order.
+SWAPS = (("male", "female"), ("female", "male"), ("20s", "70s"), ("30s", "60s"), ("clear", "cloudy"), ("cloudy", "clear"), ("bright", "dim"), ("dim", "bright"), ("close", "far"), ("far", "close"))
+# Opening lines of prompt variants.
+PROMPT_VARIANTS = {
+    "direct": ("Answer the traffic-safety multiple-choice question from the videos.", "Return exactly one lowercase option letter."),
+    "evidence": ("Choose the answer best supported by visible traffic-scene evidence.", "Compare every option against the video evidence before deciding.", "Return exactly one lowercase option letter."),
+    "anti-prior": ("Answer only from visible evidence, not demographic or traffic priors.", "If options are visually similar, choose the option with strongest direct evidence.", "Return exactly one lowercase option letter."),
+}

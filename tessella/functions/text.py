@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.fixed import BAD_TAILS, FAULT_PATTERNS, PHASE_NUMBERS, PROTECTED_PATTERNS, PROTECTED_TERMS
+from tessella.functions.fixed import BAD_TAILS, CONTEXT_SENTENCES, FAULT_PATTERNS, PHASE_NUMBERS, PROTECTED_PATTERNS, PROTECTED_TERMS, SWAPS
 
 
 def blank(text: Column) -> Column:
@@ -226,3 +226,43 @@ def protected_items(text: Column) -> Column:
 def faults(text: Column) -> dict[str, Column]:
     """Whether a text has each of the faults that reject it."""
     return {name: F.regexp_like(text, F.lit(pattern)) for name, pattern in FAULT_PATTERNS}
+
+
+# spoilt captions, as negatives
+
+
+def shuffled_sentences(text: Column) -> Column:
+    """The second, fourth, ... sentences, then the others; a text of two or fewer as it is."""
+    parts = sentences_split(text)
+    turned = F.concat(F.filter(parts, lambda s, i: i % 2 == 1), F.filter(parts, lambda s, i: i % 2 == 0))
+    return F.when(F.size(parts) <= 2, text).otherwise(F.array_join(turned, " "))
+
+
+def first_sentences(text: Column, count: int) -> Column:
+    parts = sentences_split(text)
+    return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, count), " ")).otherwise(text)
+
+
+def without_context(text: Column) -> Column:
+    """Sentences that don't speak of the surroundings; the first three if all do."""
+    kept = F.filter(sentences_split(text), lambda s: ~holds_any(F.lower(s), CONTEXT_SENTENCES))
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(first_sentences(text, 3))
+
+
+def replaced_once(text: Column, word: str, new: str) -> Column:
+    """The first place of a word, in any case, replaced."""
+    at = F.regexp_instr(text, F.lit(rf"(?i)\b{word}\b"))
+    return F.when(at > 0, F.concat(text.substr(F.lit(1), at - 1), F.lit(new), text.substr(at + len(word), F.length(text)))).otherwise(text)
+
+
+def contradicted(texts: dict[str, Column]) -> dict[str, Column]:
+    """Captions in which the first known attribute that any of them names is swapped once; else the first caption gets a wrong age."""
+    both = F.concat_ws(" ", *texts.values())
+    names = list(texts)
+    out = {}
+    for name, text in texts.items():
+        swapped = F.when(F.lit(False), text)
+        for word, new in SWAPS:
+            swapped = swapped.when(F.regexp_like(both, F.lit(rf"(?i)\b{word}\b")), replaced_once(text, word, new))
+        out[name] = swapped.otherwise(F.concat(text, F.lit(" The pedestrian was in his 70s.")) if name == names[0] else text)
+    return out

@@ -149,18 +149,65 @@ def gate(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def consistency_penalty(captions: DataFrame, facts: DataFrame) -> DataFrame:
-    """captions with ``penalty``: -2 for each age or gender, -1 for each other fact, that its text contradicts."""
+    """captions with ``penalty``: -2.5 for a wrong age, -2.5 for a wrong gender, -1.5 for wrong weather or brightness, -1 for a wrong distance."""
     keys = ["scenario_id", "phase"]
     text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(f"caption_{r}"), F.lit("")) for r in ROLES)))
-    of = facts.select("scenario_id", F.col("phase").alias("fact_phase"), F.lower("key").alias("key"), F.regexp_replace(F.lower("value"), "grey", "gray").alias("value"))
-    met = captions.select(*keys, text.alias("low")).join(of, "scenario_id").where(F.col("fact_phase").isNull() | (F.col("fact_phase") == F.col("phase")))
-    against = contradicts(F.col("low"), F.col("key"), F.col("value"))
-    heavy = F.contains(F.col("key"), F.lit("age_group")) | F.contains(F.col("key"), F.lit("gender"))
-    sums = met.groupBy(*keys).agg(F.sum(F.when(against & heavy, -2).when(against, -1).otherwise(0)).cast("long").alias("penalty"))
-    return captions.join(sums, keys, "left").na.fill(0, ["penalty"])
-
-
-def repair_consistency(captions: DataFrame, fallback: DataFrame, facts: DataFrame, limit: int = -2) -> DataFrame:
+    of = facts.select("scenario_id", F.col("phase").alias("fact_phase"), F.lower("key").alias("key"), F.lower("value").alias("value"))
+    met = captions.select(*keys).distinct().join(of, "scenario_id").where(F.col("fact_phase").isNull() | (F.col("fact_phase") == F.col("phase")))
+
+    def told(*names: str) -> Column:
+        # a few facts of one scenario and phase
+        return F.array_join(F.collect_list(F.when(holds_any(F.col("key"), names), F.col("value"))), " ")
+
+    known = met.groupBy(*keys).agg(told("age").alias("age"), told("gender").alias("gender"), told("weather", "brightness").alias("sky"), told("distance").alias("far"))
+    rows = captions.withColumn("_low", text).join(known, keys, "left").na.fill("", ["age", "gender", "sky", "far"])
+    low = F.col("_low")
+    decades = F.lit(r"\b[1-9]0s\b")
+    allowed, present = F.regexp_extract_all("age", decades, F.lit(0)), F.regexp_extract_all(low, decades, F.lit(0))
+    age = (F.size(allowed) > 0) & (F.size(F.array_except(present, allowed)) > 0)
+    sky = F.lit(False)
+    for is_, said in (("clear", "cloudy"), ("cloudy", "clear"), ("bright", "dim"), ("dim", "bright")):
+        sky = sky | (F.contains("sky", F.lit(is_)) & F.contains(low, F.lit(said)) & ~F.contains(low, F.lit(is_)))
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
+    far = F.when(holds_any(F.col("far"), ("close", "near")), F.contains(padded, F.lit(" far "))).when(F.contains("far", F.lit("far")), holds_any(padded, (" close ", " near "))).otherwise(False)
+    gender = F.when(F.contains("gender", F.lit("female")), F.regexp_like(low, F.lit(r"\b(male|man|boy)\b"))).when(F.contains("gender", F.lit("male")), F.regexp_like(low, F.lit(r"\b(female|woman|girl)\b"))).otherwise(False)
+    penalty = sum((F.when(bad, -cost).otherwise(0.0) for bad, cost in ((gender, 2.5), (sky, 1.5), (far, 1.0))), F.when(age, -2.5).otherwise(0.0))
+    return rows.select(*captions.columns, penalty.alias("penalty"))
+
+
+def phase_penalty(text: Column, phase: Column) -> Column:
+    """-0.6 if a lower-case text has no cue of its phase, and -1.5 for a collision told in the first two."""
+    cues = F.when(phase.isin(*PHASE_CUES) & (by_phase(PHASE_CUES, phase, text) == 0), -0.6).otherwise(0.0)
+    return cues + F.when(phase.isin("0", "1") & holds_any(text, ("collision occurred", "collided with")), -1.5).otherwise(0.0)
+
+
+def label_score(text: Column) -> Column:
+    """1 for "good" (unless "bad" opens the text), -1 for "bad", else 0."""
+    low = F.lower(blank(text))
+    bad = F.lit(r"\bbad\b")
+    return F.when(F.regexp_like(low, F.lit(r"\bgood\b")) & ~F.regexp_like(F.substring(low, 1, 20), bad), 1.0).when(F.regexp_like(low, bad), -1.0).otherwise(0.0)
+
+
+def selector_scores(candidates: DataFrame, labels: DataFrame, fallback: str, facts: DataFrame, least_overlap: float = 0.7) -> DataFrame:
+    """candidates (``source, scenario_id, row_idx, phase`` and captions) with ``score``: a model's label, likeness to the fallback, facts and phase.
+
+    labels: ``source, scenario_id, row_idx, text``.  Below ``least_overlap`` of
+    the fallback's words 5 goes off; the fallback has 0.25 more.
+    """
+    keys = ["scenario_id", "row_idx"]
+    text = F.concat_ws(" ", *(blank(F.col(f"caption_{r}")) for r in ROLES))
+    rows = candidates.withColumns({"_text": text, "pair": F.concat_ws("|", "source", "scenario_id", "row_idx")})
+    rows = rows.join(rows.where(F.col("source") == fallback).select(*keys, F.col("_text").alias("_base")), keys)
+    pairs = rows.select("pair", F.col("_text").alias("candidate"), F.col("_base").alias("reference"))
+    rows = rows.join(overlap_f1(pairs, 1).toDF("pair", "_o1"), "pair").join(overlap_f1(pairs, 4).toDF("pair", "_o4"), "pair")
+    locked = consistency_penalty(rows, facts).join(labels.select("source", *keys, F.col("text").alias("_label")), ["source", *keys], "left")
+    own = F.col("source") == fallback
+    low_overlap = F.when(~own & (F.col("_o1") < least_overlap), -5.0).otherwise(0.0)
+    score = label_score(F.coalesce("_label", F.lit(""))) + 0.3 * F.col("_o1") + 0.3 * F.col("_o4") + F.col("penalty") + phase_penalty(F.lower("_text"), F.col("phase")) + F.when(own, 0.25).otherwise(0.0) + low_overlap
+    return locked.select(*candidates.columns, score.alias("score"), F.col("_o1").alias("source_overlap"))
+
+
+def repair_consistency(captions: DataFrame, fallback: DataFrame, facts: DataFrame, limit: float = -2.0) -> DataFrame:
     """Captions whose penalty is ``limit`` or less replaced by the fallback's row of the same scenario and index."""
     rated = consistency_penalty(captions, facts)
     other = fallback.select("scenario_id", "row_idx", *(F.col(f"caption_{r}").alias(f"_{r}") for r in ROLES))

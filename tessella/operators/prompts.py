@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.fixed import CAPTION_KEYS_TEXT, CAPTION_SYSTEM, LETTERS, PHASE_NUMBERS, RETURN_JSON, VQA_SYSTEM
+from tessella.functions.fixed import CAPTION_KEYS_TEXT, CAPTION_SYSTEM, LETTERS, PHASE_NUMBERS, PROMPT_VARIANTS, RETURN_JSON, VQA_SYSTEM
 from tessella.functions.text import blank
 
 _NAMES = {number: name for name, number in reversed(PHASE_NUMBERS.items())}
@@ -107,3 +107,26 @@ def shuffled_options(questions: DataFrame, copies: int, seed: str) -> DataFrame:
     new = F.map_from_arrays(F.slice(letters, F.lit(1), F.size("_o")), F.transform("_o", lambda x: x["text"]))
     place = F.array_position(F.transform("_o", lambda x: x["old"]), F.col("correct")).cast("int")
     return rows.withColumns({"options": new, "correct": F.get(letters, place - 1)}).drop("_o")
+
+
+def prompt_variant(instruction: Column, variant: str) -> Column:
+    """The prompt under another heading: its scenario lines, each once, then all from the first video or question line.
+
+    A prompt that then lacks its question or options is an error.
+    """
+    if variant == "base":
+        return instruction
+    lines = F.split(instruction, "\n")
+    opens = F.transform(lines, lambda x: F.contains(x, F.lit("<video>")) | F.startswith(F.trim(x), F.lit("Question:")))
+    at = F.array_position(opens, F.lit(True)).cast("int")
+    at = F.when(at == 0, F.size(lines) + 1).otherwise(at)
+    head, tail = F.slice(lines, F.lit(1), at - 1), F.slice(lines, at, F.size(lines))
+
+    def told(x: Column) -> Column:
+        x = F.trim(x)
+        return F.regexp_like(x, F.lit("^(Scenario type:|Scope:|Phase label:|View:|Scenario-level)")) | F.endswith(x, F.lit("question"))
+
+    kept = F.array_distinct(F.filter(head, told))
+    blank_line = F.array(F.lit(""))
+    made = F.trim(F.array_join(F.concat(F.array(*map(F.lit, (*PROMPT_VARIANTS[variant], ""))), kept, F.when(F.size(kept) > 0, blank_line).otherwise(F.slice(blank_line, 1, 0)), tail), "\n"))
+    return F.when(F.contains(made, F.lit("Question:")) & F.contains(made, F.lit("Options:")), made).otherwise(F.raise_error(F.lit(f"variant {variant} lost the question or the options")))

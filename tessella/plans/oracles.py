@@ -267,12 +267,13 @@ rs AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {FLAW[n].format('cand')} TH
 rr AS (SELECT *, CASE WHEN len(r) > 0 THEN r WHEN delta < {MARGIN} THEN ['quality_delta'] ELSE r END AS reasons FROM rs)
 SELECT scenario_id, phase, role, len(reasons) = 0 AS accepted, array_to_string(reasons, ',') AS reasons FROM rr""",
     "protected_diff": f"WITH {against_base('slots')} SELECT scenario_id, phase, role, array_to_string(list_sort(list_filter({ITEMS.format('base')}, lambda y: NOT list_contains({ITEMS.format('cand')}, y))), ',') AS lost FROM gt",
-    "consistency_repair": f"""WITH {MET}, pn AS (SELECT source, scenario_id, phase, sum(CASE WHEN is_against AND contains(key, 'age_group') THEN -2 WHEN is_against THEN -1 ELSE 0 END)::BIGINT AS penalty FROM met GROUP BY ALL)
+    "consistency_repair": f"""WITH {MET}, pn AS (SELECT source, scenario_id, phase, max(CASE WHEN is_against AND contains(key, 'age_group') THEN 1 ELSE 0 END) * -2.5::DOUBLE AS penalty FROM met GROUP BY ALL)
 SELECT o.scenario_id, o.phase, penalty, penalty <= -2 AS replaced, CASE WHEN penalty <= -2 THEN b.caption_pedestrian ELSE o.caption_pedestrian END AS caption_pedestrian
 FROM cap o JOIN pn USING (source, scenario_id, phase) JOIN cap b ON b.source = 'base' AND b.scenario_id = o.scenario_id AND b.row_idx = o.row_idx WHERE o.source = 'fused'""",
     "completeness_repair": f"WITH {CAPTIONS_SQL} SELECT o.scenario_id, o.phase, {mend('caption_pedestrian')}, {mend('caption_vehicle')} FROM cap o JOIN cap b ON b.source = 'base' AND o.source = 'fused' AND b.scenario_id = o.scenario_id AND b.row_idx = o.row_idx",
     "phrase_bank": f"WITH {BANK} SELECT bank, gram, round(weight, 4) AS weight FROM top",
     "phrase_overlap": f"WITH {BANK} SELECT docs.doc AS id, round(coalesce(sum(least(c, 3) * coalesce(weight, 0)) / greatest(sum(least(c, 3)), 1), 0), 4) AS overlap FROM docs LEFT JOIN gr ON gr.doc = docs.doc LEFT JOIN top ON top.bank = gr.bank AND top.gram = gr.gram GROUP BY docs.doc",
+    "question_export": f"""WITH {TYPED} SELECT id, correct || '. ' || options[instr('abcd', correct)] AS output, CASE WHEN scope = 'vehicle_view' THEN 0 ELSE 1 END::BIGINT AS videos, question_type FROM ty""",
     "bleu": f"""WITH {overlap(4)}, t AS (SELECT n, sum(shared) AS s, sum(lt) AS t, sum(rt) AS r FROM ov GROUP BY n), g AS (SELECT sum(ln((s + 1) / (t + 1))) / 4 AS l, max(t) FILTER (n = 1) AS c, max(r) FILTER (n = 1) AS r FROM t)
 SELECT round(CASE WHEN c > r THEN 1.0 ELSE exp(1 - r / greatest(c, 1)) END * exp(l), 6) AS bleu FROM g""",
     "meteor_like": f"WITH {overlap(1)} SELECT pr.pair, round(coalesce(CASE WHEN shared > 0 THEN 10 * (shared / lt) * (shared / rt) / (shared / rt + 9 * (shared / lt)) END, 0.0), 6) AS meteor FROM pr LEFT JOIN ov ON ov.pair = pr.pair",

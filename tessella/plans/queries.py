@@ -11,7 +11,7 @@ from tessella.functions import boxes, text
 from tessella.functions.classify import question_type, vehicle_scope_loose, vehicle_scope_strict
 from tessella.functions.fixed import ROUTE_WEIGHTS, ROUTER_MODES, ROUTES
 from tessella.operators import captions as cap
-from tessella.operators import facts, joins, metrics, prompts, repair, scores, selection, tracks, validate, votes
+from tessella.operators import exports, facts, joins, metrics, prompts, ranker, repair, scores, selection, slots, tracks, validate, votes
 from tessella.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +357,50 @@ def phrase_overlap(spark, sf_dir):
     return cap.bank_overlap(docs, bank, 2).select("id", F.round("overlap", 4).alias("overlap"))
 
 
+@query
+def slot_rewrite(spark, sf_dir):
+    rows = slots.rewrite_slots(views.captions(spark, sf_dir).where("source = 'base'"), views.caption_facts(spark, sf_dir), "balanced")
+    return rows.select("scenario_id", "phase", "caption_pedestrian", "caption_vehicle")
+
+
+@query
+def slot_template(spark, sf_dir):
+    known = facts.fact_rows(views.questions(spark, sf_dir))
+    rows = known.where("phase is not null").select("scenario_id", "phase").distinct().select("scenario_id", "phase", F.lit("").alias("caption_pedestrian"), F.lit("").alias("caption_vehicle"))
+    return slots.rewrite_slots(rows, known, "template")
+
+
+@query
+def slot_rerank(spark, sf_dir):
+    rows = slots.rerank_slots(views.captions(spark, sf_dir), views.caption_facts(spark, sf_dir), "base", 0.2, 0.3)
+    return rows.select("scenario_id", "row_idx", "source", F.round("margin", 4).alias("margin"))
+
+
+@query
+def phrase_rerank(spark, sf_dir):
+    rows = views.captions(spark, sf_dir)
+    bank = ranker.caption_bank(rows.where("source = 'slots'").select("scenario_id", "phase", "caption_pedestrian", "caption_vehicle"), 2, 200)
+    return ranker.rerank_by_bank(rows, "base", bank, ("base", "fused", "slots"), least_overlap=0.3, max_changes=50).select("scenario_id", "row_idx", "source", F.round("margin", 4).alias("margin"))
+
+
+@query
+def learned_ranker(spark, sf_dir):
+    rows = views.captions(spark, sf_dir).where("cast(substring(scenario_id, 2) as long) % 25 = 0")
+    seen = ranker.features(rows, "base", ("base", "fused", "slots"))
+    target = ranker.target_scores(rows, rows.where("source = 'slots'"))
+    weights = ranker.train_ranker(seen.join(target, ["source", "scenario_id", "row_idx"]))
+    return ranker.apply_ranker(seen, weights, "base").select("scenario_id", "row_idx", "source", F.round("margin", 4).alias("margin"))
+
+
+@query
+def question_export(spark, sf_dir):
+    asked = views.questions(spark, sf_dir).withColumn("scenario_type", F.lit("main"))
+    clips = spark.createDataFrame([], "scenario_id string, view string, phase string, clips array<string>")
+    videos = asked.select("scenario_id").distinct().select("scenario_id", F.lit("overhead_view").alias("view"), F.array(F.concat("scenario_id", F.lit("_1.mp4")), F.concat("scenario_id", F.lit("_2.mp4"))).alias("videos"))
+    rows = exports.question_rows(asked, clips, videos, "first", "letter_text")
+    return rows.select("id", "output", F.size("videos").cast("long").alias("videos"), F.element_at("metadata", "question_type").alias("question_type"))
+
+
 # metrics
 
 
