@@ -30,12 +30,33 @@ _TRIM = np.zeros(256, bool)
 _TRIM[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
-def featurise(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, word buckets, their counts, dense features) of each text.
+@dataclass
+class Texts:
+    """Features of texts: word buckets and counts of text i at offsets[i] to offsets[i + 1], and a row of dense ones."""
 
-    ASCII punctuation at a word's ends is left out of the word.
-    """
+    bucket: np.ndarray
+    count: np.ndarray
+    offsets: np.ndarray
+    dense: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.offsets))
+
+    def rows(self, which: np.ndarray) -> Texts:
+        """The texts of the given numbers, in their order."""
+        size = np.diff(self.offsets)[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.offsets[which] - ends[:-1], size) + np.arange(ends[-1])
+        return Texts(self.bucket[at], self.count[at], ends, self.dense[which])
+
+
+def featurise(column: pa.Array) -> Texts:
+    """Features of a column of texts.  ASCII punctuation at a word's ends is left out of the word."""
     data, offsets = utf8(column)
+    buckets, counts, sizes, dense = [], [], [0], np.zeros((len(column), len(DENSE)))
     for i, j in groups(offsets):
         part = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
@@ -46,10 +67,14 @@ def featurise(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         words = Words(bare, at)
         for k in range(j - i):
             a, b = words.first[k], words.first[k + 1]
-            bucket, count = np.unique((words.hash[a:b] >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), return_counts=True)
+            bucket, count = np.unique((words.hash[a:b] >> np.uint64(20)).astype(np.int32) & np.int32(BUCKETS - 1), return_counts=True)
             size = max(1, int(at[k + 1] - at[k]))
-            dense = np.array([np.log1p(b - a), (capitals[at[k + 1]] - capitals[at[k]]) / size, (marks[at[k + 1]] - marks[at[k]]) / size, len(bucket) / max(1, b - a)])
-            yield i + k, bucket, count, dense
+            dense[i + k] = np.log1p(b - a), (capitals[at[k + 1]] - capitals[at[k]]) / size, (marks[at[k + 1]] - marks[at[k]]) / size, len(bucket) / max(1, b - a)
+            buckets.append(bucket)
+            counts.append(count.astype(np.int32))
+            sizes.append(len(bucket))
+    none = np.zeros(0, np.int32)
+    return Texts(np.concatenate([none, *buckets]), np.concatenate([none, *counts]), np.cumsum(sizes), dense)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
@@ -88,81 +113,77 @@ class Chain:
 
     links: list[Link] = field(default_factory=list)
 
-    def matrix(self, link: Link, texts: list[tuple], earlier: np.ndarray) -> np.ndarray:
+    def matrix(self, link: Link, texts: Texts, earlier: np.ndarray) -> np.ndarray:
         """Features of one link: log counts of its words, dense features, earlier probabilities' logits."""
         x = np.zeros((len(texts), len(link.buckets)))
-        for i, (_, bucket, count, _) in enumerate(texts):
-            at = np.searchsorted(link.buckets, bucket)
-            at[at == len(link.buckets)] = 0
-            hit = link.buckets[at] == bucket if len(link.buckets) else np.zeros(len(bucket), bool)
-            x[i, at[hit]] = np.log1p(count[hit])
-        dense = np.array([t[3] for t in texts]).reshape(len(texts), len(DENSE))
+        if len(link.buckets):
+            at = np.minimum(np.searchsorted(link.buckets, texts.bucket), len(link.buckets) - 1)
+            hit = link.buckets[at] == texts.bucket
+            x[texts.owners()[hit], at[hit]] = np.log1p(texts.count[hit])
         logits = np.log((earlier + 1e-4) / (1 - earlier + 1e-4))
-        return np.column_stack((x, dense, logits))
+        return np.column_stack((x, texts.dense, logits))
 
-    def predict(self, texts: list[tuple]) -> np.ndarray:
+    def predict(self, texts: Texts) -> np.ndarray:
         out = np.zeros((len(texts), 0))
         for link in self.links:
             x = (self.matrix(link, texts, out) - link.mean) / link.scale
-            p = _sigmoid(x @ link.weights[:-1] + link.weights[-1])
-            out = np.column_stack((out, p))
+            out = np.column_stack((out, _sigmoid(x @ link.weights[:-1] + link.weights[-1])))
         return out
 
 
-def _choose(texts: list[tuple], y: np.ndarray, most: int, least_chi: float) -> np.ndarray:
+def _choose(texts: Texts, y: np.ndarray, most: int, least_chi: float) -> np.ndarray:
     """The word buckets whose presence depends on the label: largest chi-square first."""
-    n, positive = len(y), y.sum()
-    inside, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t, label in zip(texts, y):
-        total[t[1]] += 1
-        if label:
-            inside[t[1]] += 1
-    expected = total * positive / max(1, n)
+    n, positive = max(1, len(y)), y.sum()
+    total = np.bincount(texts.bucket, minlength=BUCKETS).astype(float)
+    inside = np.bincount(texts.bucket[y[texts.owners()] == 1], minlength=BUCKETS)
+    expected = total * positive / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (inside - expected) ** 2 / (expected * (1 - positive / max(1, n)) * (1 - total / max(1, n)))
+        chi = (inside - expected) ** 2 / (expected * (1 - positive / n) * (1 - total / n))
     chi[~np.isfinite(chi) | (total < 3)] = 0
     best = np.argsort(-chi, kind="stable")[:most]
     return np.sort(best[chi[best] >= least_chi])
 
 
-def fit_chain(texts: list[tuple], labels: dict[str, np.ndarray], folds: int, words: int, ridge: float, least_chi: float) -> Chain:
+def fit_chain(texts: Texts, labels: dict[str, np.ndarray], folds: int, words: int, ridge: float, least_chi: float) -> Chain:
     """labels: categories in the order of the chain, each 0 or 1 by text."""
     chain = Chain()
     fold = np.arange(len(texts)) % folds
     earlier = np.zeros((len(texts), 0))
 
     def link_of(name: str, rows: np.ndarray, y: np.ndarray) -> Link:
-        some = [texts[i] for i in rows]
+        some = texts.rows(rows)
         link = Link(name, _choose(some, y[rows], words, least_chi), np.zeros(0), np.ones(0), np.zeros(0))
         x = chain.matrix(link, some, earlier[rows])
-        link.mean, link.scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+        link.mean, spread = (x.mean(0), x.std(0)) if len(rows) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        link.scale = np.where(spread > 1e-9, spread, 1.0)
         link.weights = _fit((x - link.mean) / link.scale, y[rows], ridge)
         return link
 
     for name, y in labels.items():
-        held_out = np.zeros(len(texts))
+        held_out = np.full(len(texts), 0.5)
         for k in range(folds):
             rows, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
             if len(rows) and len(rest):
                 link = link_of(name, rest, y)
-                x = (chain.matrix(link, [texts[i] for i in rows], earlier[rows]) - link.mean) / link.scale
+                x = (chain.matrix(link, texts.rows(rows), earlier[rows]) - link.mean) / link.scale
                 held_out[rows] = _sigmoid(x @ link.weights[:-1] + link.weights[-1])
         chain.links.append(link_of(name, np.arange(len(texts)), y))
         earlier = np.column_stack((earlier, held_out))
     return chain
 
 
-_FEATURES = "row struct<bucket:array<int>,count:array<int>,dense:array<double>>, labels array<int>"
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("bucket", pa.list_(pa.int32())), ("count", pa.list_(pa.int32())), ("dense", pa.list_(pa.float64()))])
     for batch in batches:
-        rows = [{"bucket": b.tolist(), "count": c.tolist(), "dense": d.tolist()} for _, b, c, d in featurise(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, kind), batch.column("labels")], ["row", "labels"])
+        t = featurise(batch.column("text"))
+        dense = _lists(t.dense.reshape(-1), np.arange(len(t) + 1) * len(DENSE))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(t.bucket, t.offsets), _lists(t.count, t.offsets), dense, batch.column("labels")], ["doc_id", "bucket", "count", "dense", "labels"])
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = 12_000, folds: int = 5, words: int = 200, ridge: float = 10.0, least_chi: float = 25.0) -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = 8000, folds: int = 5, words: int = 200, ridge: float = 10.0, least_chi: float = 25.0) -> Chain:
     """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of doc_id.
 
     categories: name to a 0/1 expression over ``labels``, in the order of the
@@ -170,31 +191,31 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     fit on the driver small; what is scored afterwards has none.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*(c.cast("int") for c in categories.values())).alias("labels"))
-    picked = picked.where("doc_id is not null and not exists(labels, x -> x is null)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    picked = picked.where("doc_id is not null and not exists(labels, x -> x is null)").orderBy(F.xxhash64("doc_id"), "doc_id", "labels").limit(max_labelled)
     # max_labelled rows of a few bytes: safe to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "labels")
-    got = rows.select("text", "labels").mapInArrow(_extract, _FEATURES).toArrow()
-    feats = got.column("row").to_pylist()
-    texts = [(i, np.array(r["bucket"], np.int64), np.array(r["count"], np.int64), np.array(r["dense"])) for i, r in enumerate(feats)]
-    given = np.array(got.column("labels").to_pylist(), float).reshape(len(texts), len(categories))
-    # the rows come in any order; the fit must not depend on it
-    order = sorted(range(len(texts)), key=lambda i: (texts[i][1].tobytes(), texts[i][3].tobytes(), given[i].tobytes()))
-    return fit_chain([texts[i] for i in order], {name: given[order, k] for k, name in enumerate(categories)}, folds, words, ridge, least_chi)
+    got = rows.mapInArrow(_extract, "doc_id long, bucket array<int>, count array<int>, dense array<double>, labels array<int>").toArrow().combine_chunks()
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = got.column(name)
+        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+        return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+    bucket, offsets = flat("bucket")
+    texts = Texts(bucket, flat("count")[0], offsets, flat("dense")[0].reshape(-1, len(DENSE)))
+    given = flat("labels")[0].reshape(-1, len(categories)).astype(float)
+    # rows come in any order, and the fit must not depend on it
+    order = np.lexsort((*given.T, np.diff(offsets), got.column("doc_id").to_numpy()))
+    return fit_chain(texts.rows(order), {name: given[order, k] for k, name in enumerate(categories)}, folds, words, ridge, least_chi)
 
 
 def _score(chain: Chain, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, held = [], []
-            for text in featurise(batch.column("text")):
-                held.append(text)
-                if len(held) == 512:
-                    parts.append(chain.predict(held))
-                    held = []
-            if held:
-                parts.append(chain.predict(held))
-            p = np.concatenate(parts) if parts else np.zeros((0, len(chain.links)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*names, *(f"p_{link.name}" for link in chain.links)])
+            for i in range(0, max(1, batch.num_rows), 1024):
+                part = batch.slice(i, 1024)
+                p = chain.predict(featurise(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*names, *(f"p_{link.name}" for link in chain.links)])
 
     return run
 
