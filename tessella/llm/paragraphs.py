@@ -28,7 +28,7 @@ from tessella.llm.minhash import MinHasher
 from tessella.llm.neardup import digest_of
 from tessella.llm.nearlinks import near_components
 from tessella.llm.scratch import Scratch
-from tessella.llm.words import Words, groups, mix, runs, shingles, utf8
+from tessella.llm.words import Words, groups, runs, shingles, utf8
 
 #: Sentences below SHORT words get no key; a run may bridge up to BRIDGE unmatched words.
 SHORT, BRIDGE = 4, 6
@@ -40,9 +40,7 @@ def _starts(data: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndar
     """Of text k: flags of words that open a line, and of those that open a sentence."""
     a, b = words.first[k], words.first[k + 1]
     start, end = words.start[a:b], words.end[a:b]
-    line = np.ones(b - a, bool)
-    breaks = np.flatnonzero(data[start[0] : end[-1]] == 0x0A) + start[0] if b > a else start
-    line[1:] = np.searchsorted(breaks, start[1:]) > np.searchsorted(breaks, start[:-1])
+    line = _opens_line(data, words, k)
     one, two = data[start], data[np.minimum(start + 1, len(data) - 1)]
     # capitals: A-Z, Latin-1 supplement, Greek, Cyrillic
     upper = (one >= 65) & (one <= 90)
@@ -58,12 +56,21 @@ def _starts(data: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndar
     return line, sentence
 
 
-def _lines(data: np.ndarray, words: Words, k: int, line: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """(first word, words) of the lines of text k with ``least`` words or more, counted in the text."""
+def _lines(line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and numbers of words of a text's lines with ``least`` words or more."""
     at = np.flatnonzero(line)
     size = np.diff(np.append(at, len(line)))
-    for i in np.flatnonzero(size >= least).tolist():
-        yield int(at[i]), int(size[i])
+    return at[size >= least], size[size >= least]
+
+
+def _opens_line(data: np.ndarray, words: Words, k: int) -> np.ndarray:
+    """Flags of the words of text k that open a line."""
+    a, b = words.first[k], words.first[k + 1]
+    start = words.start[a:b]
+    line = np.ones(b - a, bool)
+    breaks = np.flatnonzero(data[start[0] : start[-1]] == 0x0A) + start[0]
+    line[1:] = np.searchsorted(breaks, start[1:]) > np.searchsorted(breaks, start[:-1])
+    return line
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Words, int]]:
@@ -77,7 +84,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Words, int]
                 yield i + k, part, words, k
 
 
-UNITS = "doc_id long, pos int, size int, key long, n int, digest binary, sig binary, keys array<long>"
+UNITS = "doc_id long, pos int, size int, key long, n int, digest binary, sig binary, keys array<long>, bit long"
 
 
 def _units(width: int, least: int, hasher: MinHasher) -> Callable:
@@ -87,7 +94,8 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             doc, pos, size, key = [], [], [], []
-            p_doc, p_pos, p_size, p_n, digest, sig, keys = [], [], [], [], [], [], []
+            p_doc, p_pos, p_size, p_n, digest, sig, keys, bits = [], [], [], [], [], [], [], []
+            none = np.zeros(0, np.int64)
             for row, data, words, k in _texts(batch):
                 a, b = words.first[k], words.first[k + 1]
                 line, sentence = _starts(data, words, k)
@@ -99,7 +107,9 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
                 pos.append(at.astype(np.int32))
                 size.append(length.astype(np.int32))
                 doc.append(np.full(len(at), ids[row], np.int64))
-                for first, count in _lines(data, words, k, line, least):
+                first, count = _lines(line, least)
+                same = runs(words.hash[a:b], first, count).view(np.int64) if len(first) else none
+                for first, count, bit in zip(first.tolist(), count.tolist(), same.tolist()):
                     members = shingles(words, a + first, a + first + count, width)
                     minima = hasher.minima(members)
                     p_doc.append(ids[row])
@@ -109,7 +119,8 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
                     digest.append(digest_of(members))
                     sig.append(hasher.packed(minima))
                     keys.append(hasher.keys(minima))
-            schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+                    bits.append(bit)
+            schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("bit", pa.int64())])
             if doc:
                 n = sum(map(len, doc))
                 columns = [pa.array(np.concatenate(x)) for x in (doc, pos, size, key)]
@@ -117,34 +128,27 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
             if p_doc:
                 ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * hasher.bands)
                 columns = [pa.array(p_doc, pa.int64()), pa.array(p_pos, pa.int32()), pa.array(p_size, pa.int32()), pa.nulls(len(p_doc), pa.int64()), pa.array(p_n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.array(bits, pa.int64())], schema=schema)
 
     return run
 
 
-def _bits(digests: list[bytes]) -> np.ndarray:
-    return mix(np.frombuffer(b"".join(digests), np.uint64)[::2].copy()).view(np.int64)
-
-
-def _add_bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = _bits(batch.column("digest").to_pylist()) if batch.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, "bit"])
-
-
 def _sets(width: int, least: int, bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digest, sets = [], []
             for _, data, words, k in _texts(batch):
-                a = words.first[k]
-                line, _ = _starts(data, words, k)
-                for first, count in _lines(data, words, k, line, least):
-                    members = shingles(words, a + first, a + first + count, width)
-                    name = digest_of(members)
-                    if in_bitmap(bits, _bits([name]))[0]:
-                        digest.append(name)
-                        sets.append(members.tobytes())
+                a, b = words.first[k], words.first[k + 1]
+                if b - a < least:
+                    continue
+                first, count = _lines(_opens_line(data, words, k), least)
+                if not len(first):
+                    continue
+                wanted = in_bitmap(bits, runs(words.hash[a:b], first, count).view(np.int64))
+                for at, size in zip(first[wanted].tolist(), count[wanted].tolist()):
+                    members = shingles(words, a + at, a + at + size, width)
+                    digest.append(digest_of(members))
+                    sets.append(members.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["digest", "set"])
 
     return run
@@ -217,9 +221,10 @@ def repeated_passages(
     held = sentences.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
     again = sentences.join(held, "key").where("doc_id > lo").select("doc_id", "pos", "size")
 
-    paragraphs = units.where("digest is not null").select("doc_id", "pos", "size", "n", "digest", "sig", "keys")
-    folded = paragraphs.groupBy("digest").agg(F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    classes = scratch.cut(folded.mapInArrow(_add_bit, "digest binary, n long, sig binary, keys array<long>, bit long"), "classes")
+    paragraphs = units.where("digest is not null").select("doc_id", "pos", "size", "n", "digest", "sig", "keys", "bit")
+    # bit: the word sequence of one paragraph of the class, by which the second pass finds it
+    folded = paragraphs.groupBy("digest").agg(F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("bit").alias("bit"))
+    classes = scratch.cut(folded, "classes")
 
     def sets_of(bits: np.ndarray) -> DataFrame:
         return docs.mapInArrow(_sets(width, min_words, bits), "digest binary, set binary")

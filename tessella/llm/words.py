@@ -3,7 +3,7 @@
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``, with A-Z
 lower-cased.  All work is done on NumPy arrays over the UTF-8 bytes as Arrow
 holds them; no Python object is made for a word.  Texts are worked on in
-segments of about one megabyte, so memory beyond the batch follows the segment,
+segments of about a quarter of a megabyte, so memory beyond the batch follows the segment,
 or the words of the one longest text.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
