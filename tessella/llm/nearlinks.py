@@ -37,7 +37,7 @@ from tessella.llm.minhash import MinHasher, Posterior
 from tessella.llm.scratch import Scratch
 
 #: Classes of a bucket that one task compares with each other, and bytes of their sets.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
+BLOCK_ROWS, BLOCK_BYTES = 768, 16 << 20
 
 
 def similar(left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> bool:
