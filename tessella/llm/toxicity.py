@@ -98,13 +98,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Link:
-    """One category's model: words it looks at, scaling, weights."""
+    """One category's model: words it looks at, scaling, weights; its base rate and the range of dense features it saw."""
 
     name: str
     buckets: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    base: float = 0.5
+    least: np.ndarray | None = None
+    most: np.ndarray | None = None
 
 
 @dataclass
@@ -121,13 +124,17 @@ class Chain:
             hit = link.buckets[at] == texts.bucket
             x[texts.owners()[hit], at[hit]] = np.log1p(texts.count[hit])
         logits = np.log((earlier + 1e-4) / (1 - earlier + 1e-4))
-        return np.column_stack((x, texts.dense, logits))
+        # a linear model says nothing beyond what it saw
+        dense = texts.dense if link.least is None else np.clip(texts.dense, link.least, link.most)
+        return np.column_stack((x, dense, logits))
 
     def predict(self, texts: Texts) -> np.ndarray:
         out = np.zeros((len(texts), 0))
         for link in self.links:
             x = (self.matrix(link, texts, out) - link.mean) / link.scale
-            out = np.column_stack((out, _sigmoid(x @ link.weights[:-1] + link.weights[-1])))
+            p = _sigmoid(x @ link.weights[:-1] + link.weights[-1])
+            p[np.diff(texts.offsets) == 0] = link.base
+            out = np.column_stack((out, p))
         return out
 
 
@@ -157,6 +164,8 @@ def fit_chain(texts: Texts, labels: dict[str, np.ndarray], folds: int, words: in
         link.mean, spread = (x.mean(0), x.std(0)) if len(rows) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         link.scale = np.where(spread > 1e-9, spread, 1.0)
         link.weights = _fit((x - link.mean) / link.scale, y[rows], ridge)
+        if len(rows):
+            link.base, link.least, link.most = float(y[rows].mean()), some.dense.min(0), some.dense.max(0)
         return link
 
     for name, y in labels.items():
@@ -223,7 +232,8 @@ def _score(chain: Chain, names: list[str]) -> Callable:
 def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs with ``p_<category> double`` for each category.
 
-    Defined cases: a null or empty text is scored as a text without words;
+    Defined cases: a null or empty text, or one without words, has the
+    categories' shares among the labelled documents as its probabilities;
     every row is scored by itself, so repeated rows score alike; columns of
     docs with the names of the results are replaced.
     """
