@@ -106,7 +106,7 @@ def mix_sources(
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     names = list(levels)
-    docs = docs.drop("epoch", "tokens", *(x for x in names if x not in ("lang", "source")))
+    passed = [c for c in docs.columns if c not in (*names, "tokens", "epoch")]
     tokens = words_in(F.col("text").cast("string")) if tokens is None else tokens
     rows = docs.withColumns({**{x: F.coalesce(c.cast("string"), F.lit("")) for x, c in levels.items()}, "tokens": tokens})
     slim = scratch.cut(rows.select(F.col("doc_id").cast("long").alias("doc_id"), *names, "tokens"), "slim")
@@ -147,5 +147,5 @@ def mix_sources(
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     # rows before the range that holds the cut, and those of the range up to the last one taken
     partly = F.coalesce((F.col("_u") < F.col("low")) | (F.col("_u") < F.col("last_u")) | ((F.col("_u") == F.col("last_u")) & (d <= F.col("last_d"))), F.col("_u") < F.col("low"), F.lit(False))
-    taken = rows.join(decided, names).withColumn("_u", u).withColumn("_epochs", F.col("whole") + F.when(partly, 1).otherwise(0)).where("_epochs > 0")
-    return taken.withColumn("epoch", F.explode(F.expr("sequence(0, _epochs - 1)"))).select(*docs.columns, *(x for x in names if x not in docs.columns), "tokens", "epoch")
+    taken = rows.drop("epoch").join(decided, names).withColumn("_u", u).withColumn("_epochs", F.col("whole") + F.when(partly, 1).otherwise(0)).where("_epochs > 0")
+    return taken.withColumn("epoch", F.explode(F.expr("sequence(0, _epochs - 1)"))).select(*passed, *names, "tokens", "epoch")
