@@ -5,8 +5,10 @@ one of ``BINS`` bins, and a bin keeps its least value.  An empty bin takes the
 value of a bin that is full, found by a hash of its own number and the attempt:
 the same choice for every document, independent for every bin, which is the
 densification of least variance.  The low ``BITS`` bits of each value are
-packed.  Two bins also agree by chance, with probability 2**-BITS, so the
-share R of agreeing bins estimates the similarity as (R - c) / (1 - c).
+packed, after the value is mixed with the bin's number: else copies of one
+value would agree by chance all together.  Two bins agree by chance with
+probability c = 2**-BITS, so the share R of agreeing bins estimates the
+similarity as (R - c) / (1 - c).
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ ATTEMPTS = 256
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BIN_SALT = mix(np.arange(1, BINS + 1, dtype=np.uint64))
 _donors: dict[int, np.ndarray] = {}
 
 
@@ -60,7 +63,7 @@ def fingerprint(members: np.ndarray) -> np.ndarray | None:
         value[rows] = value[asked[found, hit[found].argmax(1)]]
         empty = empty[~found]
         round_ += 1
-    return (value & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    return (mix(value ^ _BIN_SALT) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(bins: np.ndarray | None) -> str:
@@ -199,5 +202,5 @@ def neighbour_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     own = dealt.select("stretch", F.lit(False).alias("guest"), "doc_id", "text")
     # a row for each stretch: safe to broadcast
     visiting = dealt.join(F.broadcast(guests), (dealt.stretch == guests.stretch) & dealt.doc_id.eqNullSafe(guests["head"])).select(F.col("host").alias("stretch"), F.lit(True).alias("guest"), "doc_id", "text")
-    spread = own.unionByName(visiting).repartition(n, "stretch").sortWithinPartitions("stretch", "guest", F.desc_nulls_last("doc_id"), "text")
+    spread = own.unionByName(visiting).repartitionById(n, F.col("stretch")).sortWithinPartitions("stretch", "guest", F.desc_nulls_last("doc_id"), "text")
     return spread.mapInArrow(_neighbours(width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
