@@ -12,6 +12,7 @@ from tessella.llm.mixing import mix_sources
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.paragraphs import dedup_passages
 from tessella.llm.quotes import link_quotes
+from tessella.llm.quotes_sql import QUOTES_SQL
 from tessella.llm.sharding import shard
 from tessella.llm.toxicity import toxicity
 from tessella.llm.warc import warc_round_trip
@@ -120,6 +121,7 @@ def _deal_sql(out: str, source: str, parent: str, name: str) -> str:
 
 
 SQL = {
+    "op1_quotation_linking": QUOTES_SQL,
     "op5_kdtree_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
