@@ -89,3 +89,49 @@ def same_camera(stem: Column, camera: Column) -> Column:
     """Whether a box file belongs to a camera: equal names, or one ends in the other."""
     bare = F.regexp_replace(stem, "_bbox$", "")
     return (bare == camera) | F.endswith(bare, camera) | F.endswith(camera, bare)
+
+
+#: Box colours of the first, middle and last frame.
+OVERLAY = {"pedestrian": ("yellow@0.95", "orange@0.95", "red@0.95"), "vehicle": ("cyan@0.95", "dodgerblue@0.95", "lime@0.95")}
+
+
+def _draw(box: Column, colour: Column, width: int) -> Column:
+    return F.format_string(f"drawbox=x=%d:y=%d:w=%d:h=%d:color=%s:t={width}", box[0], box[1], box[2] - box[0], box[3] - box[1], colour)
+
+
+def overlay_filters(annotations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, overlay``: the video filter that draws each track's first, middle and last box and its union.
+
+    annotations: keys, ``role, track, image_id, ord, x, y, w, h``.  Tracks stand
+    pedestrians first, then by name; degenerate boxes are left out.
+    """
+    of = [*keys, "role", "track"]
+    boxes = annotations.select(*of, "image_id", "ord", pixel_box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box")).where(~degenerate(F.col("box")))
+    ranked = boxes.withColumns({"i": F.row_number().over(Window.partitionBy(*of).orderBy("image_id", "ord")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*of))})
+    marks = [F.max(F.when(F.col("i") == place, F.col("box"))).alias(name) for name, place in (("first", F.lit(0)), ("mid", F.floor(F.col("n") / 2)), ("last", F.col("n") - 1))]
+    union = F.array(F.min(F.col("box")[0]), F.min(F.col("box")[1]), F.max(F.col("box")[2]), F.max(F.col("box")[3])).alias("union")
+    rows = ranked.groupBy(*of).agg(*marks, union)
+    colour = [F.when(F.col("role") == "pedestrian", OVERLAY["pedestrian"][i]).when(F.col("role") == "vehicle", OVERLAY["vehicle"][i]).otherwise("white@0.95") for i in range(3)]
+    line = F.concat_ws(",", *(_draw(F.col(name), colour[i], 3 + i) for i, name in enumerate(("first", "mid", "last"))), _draw(F.col("union"), F.lit("white@0.35"), 2))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "track", line.alias("line")))), lambda x: x.line), ",").alias("overlay"))
+
+
+def crop_filter(side: Column, left: Column, top: Column, size: int = 768) -> Column:
+    """The video filter that cuts a square and scales it."""
+    return F.format_string(f"crop=%d:%d:%d:%d,scale={size}:{size}:force_original_aspect_ratio=decrease,pad={size}:{size}:(ow-iw)/2:(oh-ih)/2", side, side, left, top)
+
+
+def good_clips(manifest: DataFrame, errors: DataFrame) -> DataFrame:
+    """The manifest without clips that a check reported."""
+    return manifest.join(errors.select("clip_path"), "clip_path", "left_anti")
+
+
+def frame_time(duration: Column, at: str) -> Column:
+    """The second of a clip to take a frame from: start, one_sec (half of a shorter clip), middle, or a number."""
+    if at == "start":
+        return F.lit(0.0)
+    if at == "middle":
+        return F.greatest(F.lit(0.0), duration / 2)
+    if at == "one_sec":
+        return F.when(duration > 1.0, 1.0).otherwise(F.greatest(F.lit(0.0), duration / 2))
+    return F.lit(max(0.0, float(at)))

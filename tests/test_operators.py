@@ -334,3 +334,28 @@ def test_a_wrong_age_takes_the_fallback(spark):
     base = table(spark, [("s", 0, "1", "Base.", "B."), ("s", 1, "2", "Base.", "B.")], schema)
     known = table(spark, [("s", None, "pedestrian.age_group", "20s")], "scenario_id string, phase string, key string, value string")
     assert got(cap.repair_consistency(rows, base, known), "row_idx", "caption_pedestrian", "penalty") == [(0, "Base.", -2.5), (1, "A man in his 20s.", 0.0)]
+
+
+def test_oracle_predictions_are_perfect_and_missing_ones_count(spark):
+    from tessella.operators import evaluation
+
+    schema = "scenario_id string, view string, phase string, caption_pedestrian string, caption_vehicle string"
+    rows = [("s", "overhead_view", "1", "the man walks over the wide road", "the red car stops near the man"), ("s", "vehicle_view", "1", "other", "other"), ("t", "vehicle_view", "2", "a girl runs past the old shop", "a bus turns left at the light")]
+    phases = table(spark, rows, schema)
+    whole = evaluation.evaluate_captions(phases, evaluation.preferred_captions(phases)).first()
+    assert abs(whole.bleu - 1) < 1e-9 and abs(whole.rouge - 1) < 1e-9 and whole.missing == 0
+    part = evaluation.evaluate_captions(phases, phases.where("scenario_id = 's' and view = 'overhead_view'")).first()
+    assert part.missing == 1 and abs(part.rouge - 0.5) < 1e-9
+    q = table(spark, [("1", "a"), ("2", "b")], "id string, correct string")
+    assert evaluation.evaluate_answers(q, evaluation.gold_answers(q)).first().accuracy == 1.0
+    assert evaluation.evaluate_answers(q, evaluation.gold_answers(q).where("id = '1'")).first().accuracy == 0.5
+
+
+def test_overlay_and_crop_filters(spark):
+    rows = [("s", "vehicle", "v", i, i, 10.0 * i, 5.0, 20.0, 30.0) for i in range(4)] + [("s", "pedestrian", "p", 0, 9, 1.0, 1.0, 0.5, 9.0), ("s", "pedestrian", "q", 0, 10, 2.0, 2.0, 8.0, 8.0)]
+    df = table(spark, rows, "scenario_id string, role string, track string, image_id long, ord long, x double, y double, w double, h double")
+    made = tracks.overlay_filters(df, ["scenario_id"]).first().overlay.split(",")
+    assert made[0] == "drawbox=x=2:y=2:w=8:h=8:color=yellow@0.95:t=3" and made[5] == "drawbox=x=20:y=5:w=20:h=30:color=dodgerblue@0.95:t=4"
+    assert made[7] == "drawbox=x=0:y=5:w=50:h=30:color=white@0.35:t=2" and len(made) == 8
+    assert one(spark, tracks.crop_filter(F.lit(96), F.lit(4), F.lit(2), 64)).startswith("crop=96:96:4:2,scale=64:64")
+    assert one(spark, tracks.frame_time(F.lit(0.6), "one_sec")) == 0.3
