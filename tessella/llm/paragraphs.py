@@ -32,7 +32,7 @@ from tessella.llm.words import Words, groups, runs, shingles, utf8
 
 #: Sentences below SHORT words get no key; a run may bridge up to BRIDGE unmatched words.
 SHORT, BRIDGE = 4, 6
-#: A sentence above LONG words is cut before words whose hash is divisible by 16.
+#: A sentence above LONG words is cut before words whose hash is divisible by 8.
 LONG = 32
 
 
@@ -52,7 +52,7 @@ def _starts(data: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndar
     size = np.diff(np.append(np.flatnonzero(sentence), b - a))
     if len(size) and size.max() > LONG:
         inside = np.repeat(size > LONG, size)
-        sentence |= inside & (words.hash[a:b] & np.uint64(15) == 0)
+        sentence |= inside & (words.hash[a:b] & np.uint64(7) == 0)
     return line, sentence
 
 
@@ -237,7 +237,7 @@ def repeated_passages(
     return again.unionByName(similar).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("repeats"))
 
 
-def dedup_passages(docs: DataFrame, min_words: int = 50, min_run: int = 40, **options) -> DataFrame:
+def dedup_passages(docs: DataFrame, min_words: int = 50, min_run: int = 36, **options) -> DataFrame:
     """Cut passages of ``min_words`` words or more that an earlier document holds as well.
 
     docs: ``doc_id long, text string`` and any other columns, which pass

@@ -6,25 +6,34 @@ any executor, is computed once, and gives the planner exact sizes.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Where it is unset, a local master gets a folder below the system's
-    temporary one; a cluster gets an error, since its machines share no local
-    folder.
+    temporary one, which is removed when the program ends; a cluster gets an
+    error, since its machines share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file:{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    own = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file:{own}"
 
 
 class Scratch:
