@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import boxes, text
 from tessella.functions.classify import question_type, vehicle_scope_loose, vehicle_scope_strict
 from tessella.functions.fixed import ROUTE_WEIGHTS, ROUTER_MODES, ROUTES
+from tessella.functions.segments import caption_segments
 from tessella.operators import captions as cap
 from tessella.operators import exports, facts, joins, metrics, prompts, ranker, repair, scores, selection, slots, tracks, validate, votes
 from tessella.plans import views
@@ -357,6 +358,12 @@ def phrase_overlap(spark, sf_dir):
     return cap.bank_overlap(docs, bank, 2).select("id", F.round("overlap", 4).alias("overlap"))
 
 
+@query
+def segment_extract(spark, sf_dir):
+    rows = cap.unpivoted(views.captions(spark, sf_dir).where("source = 'base'"), "scenario_id", "phase")
+    return rows.select("scenario_id", "phase", "role", F.explode(caption_segments(F.col("text"), F.col("role"))).alias("segment", "text"))
+
+
 @query
 def slot_rewrite(spark, sf_dir):
     rows = slots.rewrite_slots(views.captions(spark, sf_dir).where("source = 'base'"), views.caption_facts(spark, sf_dir), "balanced")

@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, small, con, name):
 
 
 #: Queries without SQL: their operators have tests of their own.
-OTHERS = {"rouge_l", "slot_rewrite", "slot_template", "slot_rerank", "phrase_rerank", "learned_ranker"}
+OTHERS = {"rouge_l", "segment_extract", "slot_rewrite", "slot_template", "slot_rerank", "phrase_rerank", "learned_ranker"}
 
 
 @pytest.mark.parametrize("name", sorted(OTHERS))
