@@ -52,3 +52,34 @@ def with_facts(rows: DataFrame, facts: DataFrame, global_limit: int = 12, phase_
     parts = [F.when(F.col("_whole").isNotNull(), F.concat(F.lit("Scenario facts:\n"), "_whole")), F.when(F.col("_own").isNotNull(), F.concat(F.lit("Phase facts:\n"), "_own"))]
     block = F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "\n")
     return joined.withColumns({"instruction": put_before(F.col("instruction"), block), "fact_conditioned": block != ""}).drop("_whole", "_own")
+
+
+def _nested(roles: Column) -> Column:
+    """A JSON object of objects that are JSON already."""
+    parts = F.transform(roles, lambda x: F.concat(F.to_json(F.array(x["role"])).substr(F.lit(2), F.length(F.to_json(F.array(x["role"]))) - 2), F.lit(":"), x["j"]))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def scene_graph(facts: DataFrame) -> DataFrame:
+    """``scenario_id, phase, graph``: facts of a scenario (null phase) or phase as JSON, by role and attribute, both sorted; empty values are left out."""
+    kept = facts.where(F.trim("value") != "")
+    role, attribute = F.substring_index("key", ".", 1), F.regexp_replace("key", r"^[^.]*\.?", "")
+    rows = kept.select("scenario_id", "phase", role.alias("role"), F.when(attribute == "", F.lit("value")).otherwise(attribute).alias("attribute"), "value")
+    # a few dozen facts at most
+    roles = rows.groupBy("scenario_id", "phase", "role").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "value")))).alias("m"))
+    return roles.groupBy("scenario_id", "phase").agg(_nested(F.array_sort(F.collect_list(F.struct("role", F.to_json("m").alias("j"))))).alias("graph"))
+
+
+def graph_facts(graphs: DataFrame) -> DataFrame:
+    """``scenario_id, phase, key, value`` of scene graphs: what scene_graph made of them."""
+    roles = graphs.select("scenario_id", "phase", F.explode(F.from_json("graph", "map<string,map<string,string>>")).alias("role", "m"))
+    rows = roles.select("scenario_id", "phase", "role", F.explode("m").alias("attribute", "value"))
+    return rows.select("scenario_id", "phase", F.when(F.col("attribute") == "value", F.col("role")).otherwise(F.concat_ws(".", "role", "attribute")).alias("key"), "value")
+
+
+def ordered_media(rows: DataFrame, most: int) -> DataFrame:
+    """``scenario_id, phase, videos``: the distinct videos of a phase over all its rows (``ord, videos``), in order, ``most`` at most (0: all)."""
+    each = rows.select("scenario_id", "phase", "ord", F.posexplode("videos").alias("pos", "video"))
+    first = each.groupBy("scenario_id", "phase", "video").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    videos = F.transform(F.array_sort(F.collect_list(F.struct("at", "video"))), lambda x: x.video)
+    return first.groupBy("scenario_id", "phase").agg((F.slice(videos, 1, most) if most else videos).alias("videos"))

@@ -254,6 +254,9 @@ SELECT p_partkey, p_brand, kind FROM c WHERE NOT (p_brand = 'Brand#11' AND r > 2
     "fact_values": f"WITH {QUESTIONS_SQL}, {ANSWERS_SQL} SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', letter)], q.ord) AS value FROM q JOIN a ON a.id = q.id GROUP BY 1, 2, 3",
     "fact_pivot": f"""WITH {QUESTIONS_SQL}, fr AS (SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', correct)], ord) AS value FROM q GROUP BY 1, 2, 3)
 SELECT scenario_id, phase, max(value) FILTER (key = 'environment.weather') AS environment__weather, max(value) FILTER (key = 'pedestrian.age_group') AS pedestrian__age_group, max(value) FILTER (key = 'vehicle.speed') AS vehicle__speed FROM fr GROUP BY scenario_id, phase""",
+    "scene_graphs": f"""WITH {QUESTIONS_SQL}, fr AS (SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', correct)], ord) AS value FROM q GROUP BY 1, 2, 3),
+r AS (SELECT scenario_id, phase, string_split(key, '.')[1] AS role, '{{' || string_agg('"' || regexp_replace(key, '^[^.]*\.?', '') || '":"' || value || '"', ',' ORDER BY key) || '}}' AS j FROM fr GROUP BY 1, 2, 3)
+SELECT scenario_id, phase, '{{' || string_agg('"' || role || '":' || j, ',' ORDER BY role) || '}}' AS graph FROM r GROUP BY 1, 2""",
     "fact_context": f"""WITH {QUESTIONS_SQL}, fr AS (SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', correct)], ord) AS value FROM q GROUP BY 1, 2, 3),
 k AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY scenario_id, phase ORDER BY key) <= CASE WHEN phase IS NULL THEN 5 ELSE 4 END)
 SELECT scenario_id, phase, string_agg('- ' || key || ': ' || value, chr(10) ORDER BY key) AS context FROM k GROUP BY scenario_id, phase""",

@@ -287,6 +287,13 @@ def fact_pivot(spark, sf_dir):
     return facts.fact_table(facts.fact_rows(views.questions(spark, sf_dir)), ["environment.weather", "pedestrian.age_group", "vehicle.speed"])
 
 
+@query
+def scene_graphs(spark, sf_dir):
+    known = facts.fact_rows(views.questions(spark, sf_dir))
+    again = facts.graph_facts(facts.scene_graph(known))
+    return facts.scene_graph(again).select("scenario_id", "phase", "graph")
+
+
 @query
 def fact_context(spark, sf_dir):
     return facts.fact_context(facts.fact_rows(views.questions(spark, sf_dir)), 5, 4)
