@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import io
+import zipfile
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,3 +176,34 @@ def dataset_index(paths: DataFrame, root: str) -> DataFrame:
         return F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("kind") == kind, F.struct("view", value.alias("v")))), lambda x: x.isNotNull())))
 
     return of.groupBy("split", "scenario_type", "scenario_id").agg(by_view("videos", F.col("files")).alias("videos"), by_view("caption", F.col("files")[0]).alias("caption_files"), by_view("vqa", F.col("files")[0]).alias("vqa_files"))
+
+
+def box_annotations(texts: DataFrame) -> DataFrame:
+    """``path, track, ord, phase, image_id, x, y, w, h`` of bounding-box files, one track each; boxes of fewer than four numbers are left out."""
+    kind = "annotations array<struct<image_id: bigint, bbox: array<double>, phase_number: string>>"
+    rows = texts.select("path", F.posexplode(F.from_json("text", kind).annotations).alias("ord", "a")).where("size(a.bbox) >= 4")
+    track = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return rows.select("path", track.alias("track"), F.col("ord").cast("long").alias("ord"), phase_number(F.col("a.phase_number")).alias("phase"), F.coalesce("a.image_id", F.lit(0)).alias("image_id"), *(F.col("a.bbox")[i].alias(n) for i, n in enumerate("xywh")))
+
+
+def box_summaries(annotations: DataFrame) -> DataFrame:
+    """``path, phase, count, first_image, last_image, mean``: boxes of each file and phase in file order, the mean box to three decimals."""
+    mean = F.array(*(F.round(F.avg(c), 3) for c in "xywh"))
+    return annotations.groupBy("path", "phase").agg(F.count(F.lit(1)).cast("long").alias("count"), F.min_by("image_id", "ord").alias("first_image"), F.max_by("image_id", "ord").alias("last_image"), mean.alias("mean"))
+
+
+def zip_members(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """``path, text``: a member of each zip archive; archives without it give no row.
+
+    Archives of submissions are small, and each is read whole by one task.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for name, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    if member in archive.namelist():
+                        found.append((name, archive.read(member).decode("utf-8")))
+            yield pd.DataFrame(found, columns=["path", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")

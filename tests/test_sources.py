@@ -93,3 +93,18 @@ def test_documents_registries_and_archives(spark, tmp_path):
     import zipfile
 
     assert sorted(zipfile.ZipFile(tmp_path / "z.zip").namelist()) == ["caption_submission.json", "vqa_submission.json"]
+
+
+def test_boxes_in_file_order(spark, tmp_path):
+    data = {"annotations": [{"image_id": 9, "bbox": [1, 2, 3, 4], "phase_number": "Action"}, {"image_id": 4, "bbox": [3, 2, 3, 4.5], "phase_number": 3}, {"image_id": 5, "bbox": None, "phase_number": "3"}]}
+    rows = sources.box_annotations(sources.documents(spark, put(tmp_path, "ped_1.json", data)))
+    assert [(r.track, r.phase, r.image_id, r.h) for r in rows.orderBy("ord").collect()] == [("ped_1", "3", 9, 4.0), ("ped_1", "3", 4, 4.5)]
+    one = sources.box_summaries(rows).first()
+    assert (one["count"], one.first_image, one.last_image, one["mean"]) == (2, 9, 4, [2.0, 2.0, 3.0, 4.25])
+
+
+def test_zip_members(spark, tmp_path):
+    sinks.write_submission(put(tmp_path, "c.json", "{}"), put(tmp_path, "v.json", '[{"id": "1", "correct": "b"}]'), str(tmp_path / "z.zip"))
+    rows = sources.answers(sources.zip_members(spark, str(tmp_path / "z.zip"), "vqa_submission.json")).collect()
+    assert [(r.id, r.letter) for r in rows] == [("1", "b")]
+    assert sources.zip_members(spark, str(tmp_path / "z.zip"), "other").collect() == []
