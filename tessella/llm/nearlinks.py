@@ -182,11 +182,12 @@ def near_components(
     spark = classes.sparkSession
     test = Posterior(hasher.size, threshold[0] / threshold[1], miss)
     banded = classes.select("digest", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
+    # keys and centres are cut, so that Spark can split a hot bucket on the other side of their joins
+    shared = scratch.cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"), "shared")
     members = scratch.cut(banded.join(shared, "key"), "members")
 
     # 2. star links
-    centres = members.groupBy("key").agg(F.min("digest").alias("v"))
+    centres = scratch.cut(members.groupBy("key").agg(F.min("digest").alias("v")), "centres")
     star = members.join(centres, "key").where("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
     signed = classes.select("digest", "sig")
     star = star.join(signed.toDF("u", "sig_u"), "u").join(signed.toDF("v", "sig_v"), "v").select("u", "v", "sig_u", "sig_v")

@@ -218,7 +218,8 @@ def repeated_passages(
     units = scratch.cut(docs.mapInArrow(_units(width, min_words, hasher), UNITS), "units")
 
     sentences = units.where("key is not null").select("doc_id", "pos", "size", "key")
-    held = sentences.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
+    # cut, so that Spark can split a hot sentence on the other side of the join
+    held = scratch.cut(sentences.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"), "held")
     again = sentences.join(held, "key").where("doc_id > lo").select("doc_id", "pos", "size")
 
     paragraphs = units.where("digest is not null").select("doc_id", "pos", "size", "n", "digest", "sig", "keys", "bit")
@@ -231,7 +232,7 @@ def repeated_passages(
 
     rooted = near_components(classes, sets_of, hasher, threshold, miss, scratch)
     placed = paragraphs.select("doc_id", "pos", "size", "digest").join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    kept = placed.groupBy("root").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("root", "lo")
+    kept = scratch.cut(placed.groupBy("root").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("root", "lo"), "kept")
     similar = placed.join(kept, "root").where("doc_id > lo").select("doc_id", "pos", "size")
     # a document's repeats are at most its words
     return again.unionByName(similar).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("repeats"))
