@@ -63,9 +63,9 @@ def sentences_bare(text: Column) -> Column:
 
 
 def repetitive(text: Column) -> Column:
-    """Four sentences or more, one of them three times or more."""
-    parts = sentences_bare(text)
-    return (F.size(parts) >= 4) & F.exists(F.array_distinct(parts), lambda s: F.size(F.filter(parts, lambda t: t == s)) >= 3)
+    """Four sentences or more, one of them three times or more: in order, one equals the second after it."""
+    parts = F.array_sort(sentences_bare(text))
+    return (F.size(parts) >= 4) & F.exists(F.zip_with(parts, F.slice(parts, F.lit(3), F.size(parts)), lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False)))
 
 
 def truncated(text: Column, limit: int) -> Column:

@@ -24,39 +24,52 @@ def by_phase(table: dict[str, Sequence[str]], phase: Column, text: Column) -> Co
     return found.otherwise(0)
 
 
-def contradicts(text: Column, key: Column, value: Column) -> Column:
-    """Whether a lower-case text speaks against a fact, by the kind that its key names."""
-
-    def others(pattern: str) -> Column:
-        expected, present = (F.regexp_extract_all(c, F.lit(pattern), F.lit(1)) for c in (value, text))
-        return (F.size(expected) > 0) & (F.size(F.array_except(present, expected)) > 0)
+def with_claims(rows: DataFrame) -> DataFrame:
+    """rows (``low``) with what the lower-case text says of age, speed, gender and colour: looked up once a text, then met by many facts."""
+    # a step of its own, so that it is worked out once for all that use it
+    rows = rows.withColumn("_padded", F.concat(F.lit(" "), F.regexp_replace("low", "[^a-z0-9_]+", " "), F.lit(" ")))
+    padded = F.col("_padded")
+    said = {
+        "_ages": F.regexp_extract_all("low", F.lit(DECADE), F.lit(1)),
+        "_speeds": F.regexp_extract_all("low", F.lit(SPEED), F.lit(1)),
+        "_colours": F.array_compact(F.array(*(F.when(F.contains(padded, F.lit(f" {c} ")), c) for c in COLOURS))),
+        "_says_male": holds_any(padded, (" male ", " man ", " boy ")),
+        "_says_female": holds_any(padded, (" female ", " woman ", " girl ")),
+    }
+    return rows.withColumns(said).drop("_padded")
+
+
+def contradicts(key: Column, value: Column) -> Column:
+    """Whether a text whose claims are columns speaks against a fact, by the kind that its key names."""
+
+    def others(present: str, pattern: str) -> Column:
+        expected = F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
+        return (F.size(present) > 0) & (F.size(expected) > 0) & (F.size(F.array_except(F.col(present), expected)) > 0)
 
     male, female = F.contains(value, F.lit("male")), F.contains(value, F.lit("female"))
-    gender = F.when(female, F.regexp_like(text, F.lit(r"\b(male|man|boy)\b"))).when(male, F.regexp_like(text, F.lit(r"\b(female|woman|girl)\b"))).otherwise(False)
-    names = F.array(*map(F.lit, COLOURS))
-    expected = F.filter(names, lambda c: F.contains(value, c))
-    present = F.filter(names, lambda c: F.contains(F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9_]", " "), F.lit(" ")), F.concat(F.lit(" "), c, F.lit(" "))))
-    colour = (F.size(expected) > 0) & (F.size(present) > 0) & ~F.arrays_overlap(present, expected)
+    gender = F.when(female, F.col("_says_male")).when(male, F.col("_says_female")).otherwise(False)
+    expected = F.array_compact(F.array(*(F.when(F.contains(value, F.lit(c)), c) for c in COLOURS)))
+    colour = (F.size("_colours") > 0) & (F.size(expected) > 0) & ~F.arrays_overlap("_colours", expected)
     return (
-        F.when(F.contains(key, F.lit("age_group")), others(DECADE))
-        .when(F.contains(key, F.lit("speed")), others(SPEED))
+        F.when(F.contains(key, F.lit("age_group")), others("_ages", DECADE))
+        .when(F.contains(key, F.lit("speed")), others("_speeds", SPEED))
         .when(F.contains(key, F.lit("gender")) | value.isin("male", "female"), gender)
         .when(F.contains(key, F.lit("color")), colour)
         .otherwise(False)
     )
 
 
-def fact_score(text: Column, key: Column, value: Column) -> tuple[Column, Column, Column]:
-    """(score, match, contradiction) of one fact against a lower-case text."""
-    value = F.regexp_replace(F.lower(squash(value)), "grey", "gray")
-    key = F.lower(key)
+def judged(met: DataFrame) -> DataFrame:
+    """met (``low`` and its claims, ``key, value``) with ``is_match, is_against, fact_score``."""
+    value = F.regexp_replace(F.lower(squash(F.col("value"))), "grey", "gray")
+    rows = met.withColumns({"_key": F.lower("key"), "_value": value})
+    key, value = F.col("_key"), F.col("_value")
     known = ~value.isin("", "unknown", "none", "n/a")
-    tight = F.endswith(value, F.lit(" km/h")) & F.contains(F.regexp_replace(text, " ", ""), F.regexp_replace(value, " ", ""))
-    match = known & (F.contains(text, value) | tight)
-    against = known & contradicts(text, key, value)
+    tight = F.endswith(value, F.lit(" km/h")) & F.contains(F.replace("low", F.lit(" "), F.lit("")), F.replace(value, F.lit(" "), F.lit("")))
+    rows = rows.withColumns({"is_match": known & (F.contains("low", value) | tight), "is_against": known & contradicts(key, value)})
     extra = F.when(F.contains(key, F.lit("age_group")), 1.0).when(F.contains(key, F.lit("speed")), 0.8).when(F.contains(key, F.lit("gender")) | value.isin("male", "female"), 0.8)
     extra = extra.when(F.contains(key, F.lit("color")), 0.5).when(holds_any(key, ("position", "distance", "action", "awareness", "line_of_sight")), 0.8).otherwise(0.0)
-    return F.when(match, extra + 0.7).otherwise(0.0) - F.when(against, 2.5).otherwise(0.0), match, against
+    return rows.withColumn("fact_score", F.when(F.col("is_match"), extra + 0.7).otherwise(0.0) - F.when(F.col("is_against"), 2.5).otherwise(0.0))
 
 
 def candidate_scores(captions: DataFrame, facts: DataFrame, target_words: int = 250, fallback: str | None = None) -> DataFrame:
@@ -70,26 +83,23 @@ def candidate_scores(captions: DataFrame, facts: DataFrame, target_words: int =
     once in the facts' score and once more as parts of their own.
     """
     p, v = blank(F.col("caption_pedestrian")), blank(F.col("caption_vehicle"))
-    rows = captions.withColumns({"text": F.trim(F.concat(p, F.lit(" "), v)), "_both": (p != "") & (v != "")})
-    low = F.lower(F.col("text"))
-    words = word_count(F.col("text"))
-    rows = rows.withColumns({
-        "length": F.when(words <= 0, -10.0).otherwise(F.greatest(F.lit(-3.0), 4.0 - F.abs(words - target_words) / 18.0)),
-        "artifacts": hits(low, ARTIFACT_TERMS) * -4.0,
-        "cues": F.least(F.lit(3.0), by_phase(PHASE_CUES, F.col("phase"), low) * 0.6),
-        "repetition": F.when(repetitive(F.col("text")), -4.0).otherwise(0.0),
-    })
+    rows = captions.withColumns({"text": F.trim(F.concat(p, F.lit(" "), v)), "_both": (p != "") & (v != "")}).withColumns({"low": F.lower("text"), "_words": word_count(F.col("text"))})
     keys = ["source", "scenario_id", "phase"]
     # a caption meets the facts of its scenario and phase only
     of = facts.select("scenario_id", F.col("phase").alias("fact_phase"), "key", "value")
-    met = rows.select(*keys, low.alias("low")).join(of, "scenario_id").where(F.col("fact_phase").isNull() | (F.col("fact_phase") == F.col("phase")))
-    score, match, against = fact_score(F.col("low"), F.col("key"), F.col("value"))
-    sums = met.groupBy(*keys).agg(F.sum(score).alias("fact_sum"), F.count_if(match).alias("matches"), F.count_if(against).alias("contradictions"))
+    met = with_claims(rows.select(*keys, "low")).join(of, "scenario_id").where(F.col("fact_phase").isNull() | (F.col("fact_phase") == F.col("phase")))
+    sums = judged(met).groupBy(*keys).agg(F.sum("fact_score").alias("fact_sum"), F.count_if("is_match").alias("matches"), F.count_if("is_against").alias("contradictions"))
+    rows = rows.withColumns({
+        "length": F.when(F.col("_words") <= 0, -10.0).otherwise(F.greatest(F.lit(-3.0), 4.0 - F.abs(F.col("_words") - target_words) / 18.0)),
+        "artifacts": hits(F.col("low"), ARTIFACT_TERMS) * -4.0,
+        "cues": F.least(F.lit(3.0), by_phase(PHASE_CUES, F.col("phase"), F.col("low")) * 0.6),
+        "repetition": F.when(repetitive(F.col("text")), -4.0).otherwise(0.0),
+    })
     rows = rows.join(sums, keys, "left").na.fill(0, ["fact_sum", "matches", "contradictions"])
     parts = F.least(F.lit(8.0), F.col("matches") * 0.6) - F.col("contradictions") * 3.0
     own = F.when(F.col("source") == fallback, 0.05).otherwise(0.0) if fallback else F.lit(0.0)
     total = F.when(F.col("_both"), 3.0).otherwise(-20.0) + F.col("length") + F.col("artifacts") + F.col("cues") + F.col("repetition") + F.col("fact_sum") + parts * 2 + own
-    return rows.withColumn("score", total).drop("_both", "text")
+    return rows.withColumn("score", total).drop("_both", "text", "low", "_words")
 
 
 def fuse_captions(captions: DataFrame, facts: DataFrame, fallback: str, target_words: int = 250, margin: float = 2.0) -> DataFrame:
@@ -118,13 +128,10 @@ def repair_completeness(captions: DataFrame, fallback: DataFrame, keys: Sequence
     return rows.select(*captions.columns)
 
 
-def local_quality(text: Column) -> Column:
+def quality(clean: Column, words: Column, flaws: Column) -> Column:
     """Length, sentences and checklist words; -5 for an open ending or a fragment."""
-    clean = squash(text)
-    flaw = faults(clean)
-    words = F.size(joined_tokens(clean)) * 0.015
-    stops = F.least(F.lit(8), F.length(clean) - F.length(F.regexp_replace(clean, r"\.", ""))) * 0.15
-    return words + stops + hits(F.lower(clean), QUALITY_TERMS) * 0.3 - F.when(flaw["bad_ending"] | flaw["fragment"], 5.0).otherwise(0.0)
+    stops = F.least(F.lit(8), F.length(clean) - F.length(F.replace(clean, F.lit("."), F.lit("")))) * 0.15
+    return words * 0.015 + stops + hits(F.lower(clean), QUALITY_TERMS) * 0.3 - F.when(F.arrays_overlap(flaws, F.array(F.lit("bad_ending"), F.lit("fragment"))), 5.0).otherwise(0.0)
 
 
 def gate(rows: DataFrame, policy: str) -> DataFrame:
@@ -135,17 +142,21 @@ def gate(rows: DataFrame, policy: str) -> DataFrame:
     Under "repair" the baseline must itself be cut off.
     """
     low, high, margin = GATE_POLICIES[policy]
-    cand, base = squash(F.col("candidate")), squash(F.col("baseline"))
-    ratio = F.size(joined_tokens(cand)) / F.greatest(F.lit(1), F.size(joined_tokens(base)))
-    missing = F.size(F.array_except(protected_items(base), protected_items(cand))) > 0
-    rules = [*((F.when(bad, name)) for name, bad in faults(cand).items()), F.when(ratio < low, "too_short"), F.when(ratio > high, "too_long"), F.when(missing, "missing_protected")]
-    reasons = F.when(cand == "", F.array(F.lit("empty"))).otherwise(F.filter(F.array(*rules), lambda r: r.isNotNull()))
-    flaw = faults(base)
-    whole = ~(flaw["bad_ending"] | flaw["fragment"]) if policy == "repair" else F.lit(False)
-    delta = local_quality(F.col("candidate")) - local_quality(F.col("baseline"))
-    out = rows.withColumns({"reasons": reasons, "delta": delta})
-    out = out.withColumn("reasons", F.when(F.size("reasons") > 0, F.col("reasons")).when(whole, F.array(F.lit("baseline_not_truncated"))).when(F.col("delta") < margin, F.array(F.lit("quality_delta"))).otherwise(F.col("reasons")))
-    return out.withColumn("accepted", F.size("reasons") == 0)
+    out = rows
+    for side in ("candidate", "baseline"):
+        # each is used more than once below, and so worked out once
+        out = out.withColumn(f"_{side}", squash(F.col(side)))
+        flaws = F.array_compact(F.array(*(F.when(bad, name) for name, bad in faults(F.col(f"_{side}")).items())))
+        out = out.withColumns({f"_{side}_words": F.size(joined_tokens(F.col(f"_{side}"))), f"_{side}_flaws": flaws})
+    ratio = F.col("_candidate_words") / F.greatest(F.lit(1), F.col("_baseline_words"))
+    missing = F.size(F.array_except(protected_items(F.col("_baseline")), protected_items(F.col("_candidate")))) > 0
+    more = F.array_compact(F.array(F.when(ratio < low, "too_short"), F.when(ratio > high, "too_long"), F.when(missing, "missing_protected")))
+    delta = quality(*(F.col(f"_candidate{x}") for x in ("", "_words", "_flaws"))) - quality(*(F.col(f"_baseline{x}") for x in ("", "_words", "_flaws")))
+    out = out.withColumns({"reasons": F.when(F.col("_candidate") == "", F.array(F.lit("empty"))).otherwise(F.concat("_candidate_flaws", more)), "delta": delta})
+    whole = ~F.arrays_overlap("_baseline_flaws", F.array(F.lit("bad_ending"), F.lit("fragment"))) if policy == "repair" else F.lit(False)
+    last = F.when(F.size("reasons") > 0, F.col("reasons")).when(whole, F.array(F.lit("baseline_not_truncated"))).when(F.col("delta") < margin, F.array(F.lit("quality_delta"))).otherwise(F.col("reasons"))
+    out = out.withColumn("reasons", last).withColumn("accepted", F.size("reasons") == 0)
+    return out.drop(*(f"_{side}{x}" for side in ("candidate", "baseline") for x in ("", "_words", "_flaws")))
 
 
 def consistency_penalty(captions: DataFrame, facts: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ SELECT p_partkey, p_brand, kind FROM c WHERE NOT (p_brand = 'Brand#11' AND r > 2
     "fact_pivot": f"""WITH {QUESTIONS_SQL}, fr AS (SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', correct)], ord) AS value FROM q GROUP BY 1, 2, 3)
 SELECT scenario_id, phase, max(value) FILTER (key = 'environment.weather') AS environment__weather, max(value) FILTER (key = 'pedestrian.age_group') AS pedestrian__age_group, max(value) FILTER (key = 'vehicle.speed') AS vehicle__speed FROM fr GROUP BY scenario_id, phase""",
     "scene_graphs": f"""WITH {QUESTIONS_SQL}, fr AS (SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', correct)], ord) AS value FROM q GROUP BY 1, 2, 3),
-r AS (SELECT scenario_id, phase, string_split(key, '.')[1] AS role, '{{' || string_agg('"' || regexp_replace(key, '^[^.]*\.?', '') || '":"' || value || '"', ',' ORDER BY key) || '}}' AS j FROM fr GROUP BY 1, 2, 3)
+r AS (SELECT scenario_id, phase, string_split(key, '.')[1] AS role, '{{' || string_agg('"' || regexp_replace(key, '^[^.]*[.]?', '') || '":"' || value || '"', ',' ORDER BY key) || '}}' AS j FROM fr GROUP BY 1, 2, 3)
 SELECT scenario_id, phase, '{{' || string_agg('"' || role || '":' || j, ',' ORDER BY role) || '}}' AS graph FROM r GROUP BY 1, 2""",
     "fact_context": f"""WITH {QUESTIONS_SQL}, fr AS (SELECT scenario_id, phase, {fact_key_sql()} AS key, arg_max(options[instr('abcd', correct)], ord) AS value FROM q GROUP BY 1, 2, 3),
 k AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY scenario_id, phase ORDER BY key) <= CASE WHEN phase IS NULL THEN 5 ELSE 4 END)
@@ -270,7 +270,7 @@ rs AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {FLAW[n].format('cand')} TH
 rr AS (SELECT *, CASE WHEN len(r) > 0 THEN r WHEN delta < {MARGIN} THEN ['quality_delta'] ELSE r END AS reasons FROM rs)
 SELECT scenario_id, phase, role, len(reasons) = 0 AS accepted, array_to_string(reasons, ',') AS reasons FROM rr""",
     "protected_diff": f"WITH {against_base('slots')} SELECT scenario_id, phase, role, array_to_string(list_sort(list_filter({ITEMS.format('base')}, lambda y: NOT list_contains({ITEMS.format('cand')}, y))), ',') AS lost FROM gt",
-    "consistency_repair": f"""WITH {MET}, pn AS (SELECT source, scenario_id, phase, max(CASE WHEN is_against AND contains(key, 'age_group') THEN 1 ELSE 0 END) * -2.5::DOUBLE AS penalty FROM met GROUP BY ALL)
+    "consistency_repair": f"""WITH {MET}, pn AS (SELECT source, scenario_id, phase, CASE WHEN bool_or(is_against AND contains(key, 'age_group')) THEN -2.5::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM met GROUP BY ALL)
 SELECT o.scenario_id, o.phase, penalty, penalty <= -2 AS replaced, CASE WHEN penalty <= -2 THEN b.caption_pedestrian ELSE o.caption_pedestrian END AS caption_pedestrian
 FROM cap o JOIN pn USING (source, scenario_id, phase) JOIN cap b ON b.source = 'base' AND b.scenario_id = o.scenario_id AND b.row_idx = o.row_idx WHERE o.source = 'fused'""",
     "completeness_repair": f"WITH {CAPTIONS_SQL} SELECT o.scenario_id, o.phase, {mend('caption_pedestrian')}, {mend('caption_vehicle')} FROM cap o JOIN cap b ON b.source = 'base' AND o.source = 'fused' AND b.scenario_id = o.scenario_id AND b.row_idx = o.row_idx",
