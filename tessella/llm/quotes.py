@@ -125,15 +125,15 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
     # a turn's parent is that of its quoting rows if it has several; then pointers are doubled up to the roots
     parents = told.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.max(F.struct("linked", "parent_turn")).alias("p")).select("conv_id", "turn", F.col("p.parent_turn").alias("top"))
-    jumps = scratch.cut(parents.select("conv_id", "turn", F.coalesce("top", "turn").alias("top"), F.when(F.col("top").isNull(), 0).otherwise(1).cast("long").alias("depth")), "jumps")
-    while True:
-        above = jumps.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        moved = scratch.cut(jumps.join(above, ["conv_id", "top"]).select("conv_id", "turn", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "jumps")
-        going = not moved.where("moved").isEmpty()
-        scratch.drop(jumps)
-        jumps = moved
-        if not going:
-            break
-    roots = jumps.select("conv_id", "turn", F.col("top").alias("thread_turn"), F.col("depth").alias("reply_depth"))
+    # settled rows point at a root; only the others take part in a round
+    first = parents.select("conv_id", "turn", F.coalesce("top", "turn").alias("top"), F.when(F.col("top").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("top").isNull().alias("settled"))
+    moved = scratch.cut(first, "jumps")
+    settled, going = moved.where("settled"), moved.where("not settled")
+    while not going.isEmpty():
+        above = settled.unionByName(going).select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), "settled")
+        moved = going.drop("settled").join(above, ["conv_id", "top"]).select("conv_id", "turn", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), "settled")
+        moved = scratch.cut(moved, "jumps")
+        settled, going = settled.unionByName(moved.where("settled")), moved.where("not settled")
+    roots = settled.select("conv_id", "turn", F.col("top").alias("thread_turn"), F.col("depth").alias("reply_depth"))
     out = told.join(roots, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "text", "quoted_passages", "linked_passages", "quote_depth", "parent_turn", "linked", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("reply_depth", F.lit(0)).cast("long").alias("reply_depth"))
