@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.classify import question_type
-from tessella.operators.prompts import answer_text, caption_prompt, media_for, vqa_prompt
+from tessella.functions.classify import question_type, vehicle_scope_loose, vehicle_scope_strict
+from tessella.operators.prompts import answer_text, caption_prompt, media_for, parsed_options, prompt_variant, vqa_prompt
+from tessella.sources.json import scenario_of
 
 BOX_HEAD = "BBox context: coordinates are [x1, y1, x2, y2] normalized to a 0-1000 full-frame grid."
 
@@ -72,3 +73,44 @@ def dataset_info(name: str, file_name: str, ranking: bool = False) -> dict:
     """The registry entry of an exported dataset."""
     columns = {"prompt": "instruction", "query": "input", **({"chosen": "chosen", "rejected": "rejected"} if ranking else {"response": "output"}), "videos": "videos"}
     return {name: {"file_name": file_name, **({"ranking": True} if ranking else {}), "columns": columns}}
+
+
+def scoped_items(items: DataFrame, strict: bool = True) -> DataFrame:
+    """Question rows of public files with ``scope`` and ``scenario_id``.
+
+    A question outside a phase is of the environment.  An item's phase
+    questions are seen from the vehicle if the wording of any of them shows it,
+    by the strict or the loose rule.  The scenario is that of the item's first
+    video, else the item's number.
+    """
+    rule = vehicle_scope_strict if strict else vehicle_scope_loose
+    seen = items.groupBy("path", "item_ord").agg(F.bool_or(F.col("phase_ord").isNotNull() & rule(F.col("question"))).alias("_vehicle"))
+    scope = F.when(F.col("phase_ord").isNull(), "environment").when(F.col("_vehicle"), "vehicle_view").otherwise("overhead_view")
+    first = F.get("videos", F.lit(0))
+    scenario = F.when(first.isNull(), F.format_string("item_%05d", "item_ord")).otherwise(scenario_of(first))
+    return items.join(seen, ["path", "item_ord"]).withColumns({"scope": scope, "scenario_id": scenario}).drop("_vehicle")
+
+
+def inference_rows(questions: DataFrame, policy: str = "all", placeholder: str = "a") -> DataFrame:
+    """``id, instruction, input, output, videos, metadata`` to be answered by a model, from scoped_items.
+
+    A "_normal_" video is of a normal clip.  The output is a placeholder.
+    """
+    kind = F.when(F.exists(F.coalesce("videos", F.array().cast("array<string>")), lambda v: F.contains(v, F.lit("_normal_"))), "normal_trimmed").otherwise("main")
+    rows = questions.withColumns({"media": media_for(F.coalesce("videos", F.array().cast("array<string>")), policy), "scenario_type": kind})
+    prompt = vqa_prompt(F.col("scope"), F.col("scenario_type"), F.col("phase"), F.col("question"), F.col("options"), F.size("media"))
+    meta = F.create_map(*(x for name in ("id", "scenario_id", "scenario_type", "scope", "phase", "question") for x in (F.lit("vqa_id" if name == "id" else name), F.col(name))))
+    return rows.select("id", prompt.alias("instruction"), F.lit("").alias("input"), F.lit(placeholder).alias("output"), F.col("media").alias("videos"), F.map_filter(meta, lambda k, v: v.isNotNull()).alias("metadata"))
+
+
+def option_candidates(rows: DataFrame, variant: str = "base") -> DataFrame:
+    """``id, instruction, options, videos`` for scoring each option, read out of prompts.
+
+    An id that comes twice, a row without one, and a prompt with fewer than two options are errors.
+    """
+    id_ = F.trim(F.coalesce(F.element_at("metadata", "vqa_id"), F.lit("")))
+    made = rows.select(id_.alias("id"), prompt_variant(F.col("instruction"), variant).alias("instruction"), "videos").withColumn("options", parsed_options(F.col("instruction")))
+    counted = made.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    fault = F.when(F.col("id") == "", "a row has no id").when(F.col("_n") > 1, F.concat(F.lit("two rows for "), "id")).when(F.size("options") < 2, F.concat(F.lit("fewer than two options for "), "id"))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.col("id"))
+    return counted.select(checked.alias("id"), "instruction", "options", "videos")
