@@ -8,9 +8,13 @@ sentence starts, and sentences with equal words are classes of their own,
 found by one exact key (a band over the whole set needs no verification).
 Every paragraph or sentence class keeps the occurrence in its least document;
 an occurrence in any later document is a repeat.  Repeats that touch, or have
-at most ``BRIDGE`` words between them, form a run, and runs of ``min_run`` words
-or more are cut from the text.  min_run is below min_words, since a passage's
-first and last sentence can be cut off or too short for a key.
+at most ``BRIDGE`` words between them, form a run.  A passage may begin and end
+inside a sentence, so a run's ends are moved outward, word by word, while the
+text goes on as the keeper's does; for this every sentence carries a byte of
+each of the ``REACH`` words before and after it, and only the sentences at the
+ends of runs look up their keeper's.  Runs of ``min_run`` words or more are cut
+from the text; min_run is a little below min_words, since a longer cut-off
+sentence is not followed to its end.
 """
 
 from __future__ import annotations
@@ -19,19 +23,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.bitmap import in_bitmap
+from tessella.llm.bitmap import bitmap_of, in_bitmap
 from tessella.llm.minhash import MinHasher
 from tessella.llm.neardup import digest_of
 from tessella.llm.nearlinks import near_components
 from tessella.llm.scratch import Scratch
-from tessella.llm.words import Words, groups, runs, shingles, utf8
+from tessella.llm.words import Words, groups, runs, shingles, slices, utf8
 
 #: Sentences below SHORT words get no key; a run may bridge up to BRIDGE unmatched words.
 SHORT, BRIDGE = 4, 6
+#: Words on each side of a sentence that a run can be moved along.
+REACH = 16
 #: A sentence above LONG words is cut before words whose hash is divisible by 8.
 LONG = 32
 
@@ -84,16 +90,39 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Words, int]
                 yield i + k, part, words, k
 
 
-UNITS = "doc_id long, pos int, size int, key long, n int, digest binary, sig binary, keys array<long>, bit long"
+UNITS = "doc_id long, pos int, size int, key long, around binary, n int, digest binary, sig binary, keys array<long>, bit long"
+
+
+def _bytes(hashes: np.ndarray) -> np.ndarray:
+    """A byte of each word, 0 for none."""
+    return (hashes >> np.uint64(32)).astype(np.uint8) | np.uint8(1)
+
+
+def _around(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each sentence the bytes of the REACH words before it and after it; a row a sentence."""
+    edge = np.zeros(REACH, np.uint8)
+    padded = np.concatenate((edge, _bytes(hashes), edge))
+    step = np.arange(REACH)
+    return np.concatenate((padded[at[:, None] + step], padded[(at + size)[:, None] + REACH + step]), 1)
+
+
+def _held(bits: np.ndarray) -> Callable:
+    """Sentences whose key has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits, batch.column("key").to_numpy())))
+
+    return run
 
 
 def _units(width: int, least: int, hasher: MinHasher) -> Callable:
     """Sentence rows (key set) and paragraph rows (digest set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            doc, pos, size, key = [], [], [], []
+            doc, pos, size, key, around = [], [], [], [], []
             p_doc, p_pos, p_size, p_n, digest, sig, keys, bits = [], [], [], [], [], [], [], []
             none = np.zeros(0, np.int64)
             for row, data, words, k in _texts(batch):
@@ -107,6 +136,7 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
                 pos.append(at.astype(np.int32))
                 size.append(length.astype(np.int32))
                 doc.append(np.full(len(at), ids[row], np.int64))
+                around.append(_around(words.hash[a:b], at, length))
                 first, count = _lines(line, least)
                 same = runs(words.hash[a:b], first, count).view(np.int64) if len(first) else none
                 for first, count, bit in zip(first.tolist(), count.tolist(), same.tolist()):
@@ -120,14 +150,16 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
                     sig.append(hasher.packed(minima))
                     keys.append(hasher.keys(minima))
                     bits.append(bit)
-            schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("bit", pa.int64())])
+            schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("around", pa.binary()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("bit", pa.int64())])
             if doc:
                 n = sum(map(len, doc))
                 columns = [pa.array(np.concatenate(x)) for x in (doc, pos, size, key)]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(schema)[4:])], schema=schema)
+                ends = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (2 * REACH)).tobytes())
+                columns.append(pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.concatenate(around).tobytes())]))
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
             if p_doc:
                 ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * hasher.bands)
-                columns = [pa.array(p_doc, pa.int64()), pa.array(p_pos, pa.int32()), pa.array(p_size, pa.int32()), pa.nulls(len(p_doc), pa.int64()), pa.array(p_n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
+                columns = [pa.array(p_doc, pa.int64()), pa.array(p_pos, pa.int32()), pa.array(p_size, pa.int32()), pa.nulls(len(p_doc), pa.int64()), pa.nulls(len(p_doc), pa.binary()), pa.array(p_n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.array(bits, pa.int64())], schema=schema)
 
     return run
@@ -135,7 +167,7 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
 
 def _sets(width: int, least: int, bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digest, sets = [], []
             for _, data, words, k in _texts(batch):
                 a, b = words.first[k], words.first[k + 1]
@@ -154,33 +186,53 @@ def _sets(width: int, least: int, bits: np.ndarray) -> Callable:
     return run
 
 
-def merged(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Runs (first word, end) of ``least`` words or more, of repeats (first word, words)."""
+def merged(spans: list[tuple[int, int]], gap: int) -> list[list[int]]:
+    """Runs [first word, end] of spans (first word, end) with at most ``gap`` words between them."""
     out: list[list[int]] = []
-    for pos, size in sorted(spans):
-        if out and pos <= out[-1][1] + BRIDGE:
-            out[-1][1] = max(out[-1][1], pos + size)
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + gap:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([pos, pos + size])
-    return [(a, b) for a, b in out if b - a >= least]
+            out.append([a, b])
+    return out
+
+
+def passages(repeats: list[dict], hashes: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs (first word, end) of ``least`` words or more, of repeats (``pos, size`` and, at ends of runs, ``around`` of the keeper)."""
+    n, own = len(hashes), _bytes(hashes)
+    before, after = {}, {}
+    for x in repeats:
+        if x["around"] is not None:
+            before[x["pos"]] = after[x["pos"] + x["size"]] = np.frombuffer(x["around"], np.uint8)
+    runs_ = merged([(min(x["pos"], n), min(x["pos"] + x["size"], n)) for x in repeats], BRIDGE)
+    for run in runs_:
+        a, b = run
+        if a in before:
+            k = min(REACH, a)
+            same = own[a - k : a][::-1] == before[a][REACH - k : REACH][::-1]
+            run[0] = a - (k if same.all() else int(same.argmin()))
+        if b in after:
+            k = min(REACH, n - b)
+            same = own[b : b + k] == after[b][REACH : REACH + k]
+            run[1] = b + (k if same.all() else int(same.argmin()))
+    return [(a, b) for a, b in merged([tuple(r) for r in runs_], 0) if b - a >= least]
 
 
 def _cut(least: int, names: list[str], text_at: int) -> Callable:
     """Cuts the runs of the repeats in ``_repeats`` from the text; adds the spans that went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             repeats = batch.column("_repeats")
             texts = batch.column(names[text_at])
             new: dict[int, tuple[str, list]] = {}
             for row in np.flatnonzero(repeats.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                spans = merged([(x["pos"], x["size"]) for x in repeats[row].as_py()], least)
                 raw = (texts[row].as_py() or "").encode()
                 words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                spans = passages(repeats[row].as_py(), words.hash, least)
                 n = len(words.start)
                 kept, at, gone = [], 0, []
                 for a, b in spans:
-                    a, b = min(a, n), min(b, n)
                     if a < b:
                         kept.append(raw[at : words.start[a]])
                         at = int(words.start[b]) if b < n else len(raw)
@@ -220,7 +272,18 @@ def repeated_passages(
     sentences = units.where("key is not null").select("doc_id", "pos", "size", "key")
     # cut, so that Spark can split a hot sentence on the other side of the join
     held = scratch.cut(sentences.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"), "held")
-    again = sentences.join(held, "key").where("doc_id > lo").select("doc_id", "pos", "size")
+    again = scratch.cut(sentences.join(held, "key").where("doc_id > lo").select("doc_id", "pos", "size", "key", "lo"), "again")
+
+    # the keeper's words around the sentences at the ends of runs
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    ends = again.withColumns({"before": F.lag(F.col("pos") + F.col("size")).over(order), "next": F.lead("pos").over(order)})
+    alone = F.col("before").isNull() | (F.col("pos") > F.col("before") + BRIDGE) | F.col("next").isNull() | (F.col("next") > F.col("pos") + F.col("size") + BRIDGE)
+    ends = scratch.cut(ends.where(alone).select("doc_id", "pos", "size", "key", "lo"), "ends")
+    told = units.where("key is not null").select("doc_id", "key", "around").mapInArrow(_held(bitmap_of(ends, "key")), "doc_id long, key long, around binary")
+    told = told.select("key", F.col("doc_id").alias("lo"), "around").join(ends.select("key", "lo").distinct(), ["key", "lo"], "left_semi")
+    told = scratch.cut(told.groupBy("key", "lo").agg(F.min("around").alias("around")), "told")
+    ends = ends.join(told, ["key", "lo"]).select("doc_id", "pos", "size", "around")
+    again = again.select("doc_id", "pos", "size", F.lit(None).cast("binary").alias("around")).unionByName(ends)
 
     paragraphs = units.where("digest is not null").select("doc_id", "pos", "size", "n", "digest", "sig", "keys", "bit")
     # bit: the word sequence of one paragraph of the class, by which the second pass finds it
@@ -233,12 +296,12 @@ def repeated_passages(
     rooted = near_components(classes, sets_of, hasher, threshold, miss, scratch)
     placed = paragraphs.select("doc_id", "pos", "size", "digest").join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     kept = scratch.cut(placed.groupBy("root").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("root", "lo"), "kept")
-    similar = placed.join(kept, "root").where("doc_id > lo").select("doc_id", "pos", "size")
+    similar = placed.join(kept, "root").where("doc_id > lo").select("doc_id", "pos", "size", F.lit(None).cast("binary").alias("around"))
     # a document's repeats are at most its words
-    return again.unionByName(similar).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("repeats"))
+    return again.unionByName(similar).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size", "around")).alias("repeats"))
 
 
-def dedup_passages(docs: DataFrame, min_words: int = 50, min_run: int = 36, **options) -> DataFrame:
+def dedup_passages(docs: DataFrame, min_words: int = 50, min_run: int = 45, **options) -> DataFrame:
     """Cut passages of ``min_words`` words or more that an earlier document holds as well.
 
     docs: ``doc_id long, text string`` and any other columns, which pass

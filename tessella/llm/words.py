@@ -67,6 +67,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what a function gathers for a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def groups(offsets: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most ``limit`` bytes together, or one longer text."""
     i, n = 0, len(offsets) - 1

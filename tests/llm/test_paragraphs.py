@@ -33,9 +33,9 @@ def test_an_edited_paragraph_is_a_repeat(spark):
     p = passage(rng, 14)
     w = p.split(" ")
     w[40] = "changed"
-    rows = [(1, "Head one.\n" + p + "\nTail one."), (2, "Head two.\n" + " ".join(w) + "\nTail two.")]
+    rows = [(1, "Head one.\n" + p + "\nTail one."), (2, "Start two.\n" + " ".join(w) + "\nLast two.")]
     out = cut(spark, rows)
-    assert out[1].text == rows[0][1] and out[2].text == "Head two.\nTail two."
+    assert out[1].text == rows[0][1] and out[2].text == "Start two.\nLast two."
 
 
 def test_short_repeats_and_repeats_inside_a_document_stay(spark):
@@ -60,5 +60,16 @@ def test_defined_cases(spark):
 
 
 def test_runs_bridge_short_gaps():
-    assert merged([(0, 20), (24, 20), (100, 10)], 40) == [(0, 44)]
-    assert merged([(0, 20), (27, 20)], 40) == []
+    assert merged([(0, 20), (24, 44), (100, 110)], 6) == [[0, 44], [100, 110]]
+    assert merged([(0, 20), (27, 47)], 6) == [[0, 20], [27, 47]]
+
+
+def test_a_passage_that_begins_and_ends_inside_sentences(spark):
+    rng = random.Random(6)
+    hosts = [passage(rng, 12).split(" ") for _ in range(3)]
+    p = passage(rng, 9).split(" ")[5:-6]
+    rows = [(i, " ".join([*h[: 31 + i], *p, *h[31 + i :]])) for i, h in enumerate(hosts)]
+    out = cut(spark, rows)
+    assert out[0].text == rows[0][1]
+    for i in (1, 2):
+        assert out[i].text == " ".join(hosts[i]) and out[i].removed[0].words == len(p)
