@@ -36,9 +36,17 @@ def word_count(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Joined n-grams of an array of words; empty if it has fewer."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, many).otherwise(F.array().cast("array<string>"))
+    """Joined n-grams of an array of words; empty if it has fewer.
+
+    Shifted copies are zipped, in time linear in the words: a slice for each
+    place copies the whole array each time.
+    """
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), many)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(words, F.lit(k), many), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) >= n, out).otherwise(F.array().cast("array<string>"))
+
 
 
 def up_to_ngrams(words: Column, n: int) -> Column:

@@ -105,11 +105,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pair, candidate, reference``: the first 60 words of documents that follow each other, mixed."""
-    docs = read(spark, sf_dir, "documents").where("doc_id < 1000").select("doc_id", F.slice(F.split("text", " "), 1, 60).alias("w"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    mixed = F.when(F.expr("doc_id % 3 = 0"), F.array_join("w", " ")).otherwise(F.concat_ws(" ", F.array_join(F.slice("w", 1, 40), " "), F.array_join(F.slice("v", 1, 20), " ")))
-    return docs.join(after, "doc_id").select(F.col("doc_id").alias("pair"), mixed.alias("candidate"), F.array_join("w", " ").alias("reference"))
+    """``pair, candidate, reference``: documents that follow each other; two of three candidates go on with the next document's text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    mixed = F.when(F.expr("doc_id % 3 = 0"), F.col("text")).otherwise(F.concat_ws(" ", "text", "next"))
+    return docs.join(after, "doc_id").select(F.col("doc_id").alias("pair"), mixed.alias("candidate"), F.col("text").alias("reference"))
+
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
