@@ -235,15 +235,19 @@ def phrase_bank(docs: DataFrame, max_n: int = 4, size: int = 6000) -> DataFrame:
     """``bank, gram, weight``: count times idf of the grams of each bank's texts, the ``size`` heaviest.
 
     docs: ``doc, bank, text``.  idf is log((N + 1) / (df + 0.5)), 0.05 at least.
-    Grams are counted by text first, then by bank.
+    Grams are counted by text first, then by bank, and the heaviest of each
+    share of a bank's grams are found before those of the bank.
     """
     grams = docs.select("bank", "doc", F.explode(up_to_ngrams(tokens(F.col("text")), max_n)).alias("gram")).groupBy("bank", "doc", "gram").agg(F.count(F.lit(1)).alias("c"))
     counts = grams.groupBy("bank", "gram").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("df"))
     n = docs.groupBy("bank").agg(F.countDistinct("doc").alias("docs"))
     idf = F.greatest(F.log((F.col("docs") + 1.0) / (F.col("df") + 0.5)), F.lit(0.05))
     weighed = counts.join(n, "bank").select("bank", "gram", F.round(F.col("count") * idf, 6).alias("weight"))
-    order = Window.partitionBy("bank").orderBy(F.desc("weight"), "gram")
-    return weighed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).drop("_r")
+    order = [F.desc("weight"), F.col("gram")]
+    some = weighed.withColumn("_share", F.pmod(F.xxhash64("gram"), F.lit(64)))
+    for keys in (["bank", "_share"], ["bank"]):
+        some = some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= size)
+    return some.drop("_r", "_share")
 
 
 def bank_overlap(texts: DataFrame, bank: DataFrame, max_n: int = 4) -> DataFrame:

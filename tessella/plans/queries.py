@@ -352,17 +352,19 @@ def completeness_repair(spark, sf_dir):
     return cap.repair_completeness(rows.where("source = 'fused'"), rows.where("source = 'base'"), ["scenario_id", "row_idx"]).select("scenario_id", "phase", "caption_pedestrian", "caption_vehicle")
 
 
+def _bank_docs(spark, sf_dir):
+    return views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("bank"), "text")
+
+
 @query
 def phrase_bank(spark, sf_dir):
-    docs = views.read(spark, sf_dir, "documents").where("doc_id < 1000").select(F.col("doc_id").alias("doc"), F.col("lang").alias("bank"), F.array_join(F.slice(F.split("text", " "), 1, 60), " ").alias("text"))
-    return cap.phrase_bank(docs, 2, 50).select("bank", "gram", F.round("weight", 4).alias("weight"))
+    return cap.phrase_bank(_bank_docs(spark, sf_dir)).select("bank", "gram", F.round("weight", 4).alias("weight"))
 
 
 @query
 def phrase_overlap(spark, sf_dir):
-    docs = views.read(spark, sf_dir, "documents").where("doc_id < 1000").select(F.col("doc_id").alias("id"), F.col("lang").alias("bank"), F.array_join(F.slice(F.split("text", " "), 1, 60), " ").alias("text"))
-    bank = cap.phrase_bank(docs.withColumnRenamed("id", "doc"), 2, 50)
-    return cap.bank_overlap(docs, bank, 2).select("id", F.round("overlap", 4).alias("overlap"))
+    docs = _bank_docs(spark, sf_dir)
+    return cap.bank_overlap(docs.withColumnRenamed("doc", "id"), cap.phrase_bank(docs)).select("id", F.round("overlap", 4).alias("overlap"))
 
 
 @query

@@ -93,3 +93,38 @@ def test_bleu_of_all_whole_pairs(spark, fixture_dir):
     c, r = (sum(len(tokens(p[k])) for p in pairs().values()) for k in (0, 1))
     want = (1.0 if c > r else math.exp(1 - r / c)) * math.exp(logs)
     assert QUERIES["bleu"](spark, fixture_dir).collect()[0].bleu == pytest.approx(want, abs=2e-6)
+
+
+def up_to(text, n):
+    return Counter(" ".join(g) for k in range(1, n + 1) for g in grams(text, k).elements())
+
+
+def bank_weights():
+    out = {}
+    for lang in ("en", "de"):
+        each = [up_to(t, 4) for _, t, bank in DOCS if bank == lang]
+        counts, df = sum(each, Counter()), Counter(g for c in each for g in c)
+        weights = {g: round(n * max(math.log((len(each) + 1) / (df[g] + 0.5)), 0.05), 6) for g, n in counts.items()}
+        out[lang] = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:6000])
+    return out
+
+
+def test_phrase_bank_of_all_whole_texts(spark, fixture_dir):
+    found = {(r.bank, r.gram): r.weight for r in QUERIES["phrase_bank"](spark, fixture_dir).collect()}
+    assert found == pytest.approx({(lang, g): w for lang, bank in bank_weights().items() for g, w in bank.items()}, abs=2e-4)
+
+
+def test_phrase_overlap_of_every_whole_text(spark, fixture_dir):
+    bank, want = bank_weights(), {}
+    for i, t, lang in DOCS:
+        c = {g: min(n, 3) for g, n in up_to(t, 4).items()}
+        want[i] = sum(n * bank[lang].get(g, 0.0) for g, n in c.items()) / sum(c.values())
+    assert {r.id: r.overlap for r in QUERIES["phrase_overlap"](spark, fixture_dir).collect()} == pytest.approx(want, abs=2e-4)
+
+
+def test_the_heaviest_grams_of_a_bank_in_shares(spark):
+    from tessella.operators.captions import phrase_bank
+
+    docs = spark.createDataFrame([(i, "en", t) for i, t, _ in DOCS], "doc long, bank string, text string")
+    every = sorted(((-r.weight, r.gram) for r in phrase_bank(docs, 2, 10**6).collect()))
+    assert sorted((-r.weight, r.gram) for r in phrase_bank(docs, 2, 7).collect()) == every[:7]
