@@ -6,6 +6,8 @@ components.  A passage can also repeat inside a line, between other words,
 where no line-level similarity shows it; so each line is cut further at
 sentence starts, and sentences with equal words are classes of their own,
 found by one exact key (a band over the whole set needs no verification).
+Sentences of one to three words, as in titles, lists and names, are keyed
+together with their followers.
 Every paragraph or sentence class keeps the occurrence in its least document;
 an occurrence in any later document is a repeat.  Repeats that touch, or have
 at most ``BRIDGE`` words between them, form a run.  A passage may begin and end
@@ -34,8 +36,8 @@ from tessella.llm.nearlinks import near_components
 from tessella.llm.scratch import Scratch
 from tessella.llm.words import Words, groups, runs, shingles, slices, utf8
 
-#: Sentences below SHORT words get no key; a run may bridge up to BRIDGE unmatched words.
-SHORT, BRIDGE = 4, 6
+#: Sentences below SHORT words are joined with those after them until they have JOINED words; a run may bridge up to BRIDGE unmatched words.
+SHORT, JOINED, BRIDGE = 4, 8, 6
 #: Words on each side of a sentence that a run can be moved along.
 REACH = 16
 #: A sentence above LONG words is cut before words whose hash is divisible by 8.
@@ -62,6 +64,22 @@ def _starts(data: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndar
     return line, sentence
 
 
+def _pieces(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and numbers of words of a text's sentences, short ones with their followers.
+
+    A joined piece is known by the words from its start on alone, wherever the
+    text before it was cut, so joined pieces overlap.
+    """
+    n = len(sentence)
+    at = np.flatnonzero(sentence)
+    end = np.append(at[1:], n)
+    short = end - at < SHORT
+    next_ = np.append(at, n)
+    end[short] = next_[np.minimum(np.searchsorted(next_, at[short] + JOINED), len(at))]
+    keyed = end - at >= SHORT
+    return at[keyed], (end - at)[keyed]
+
+
 def _lines(line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and numbers of words of a text's lines with ``least`` words or more."""
     at = np.flatnonzero(line)
@@ -128,10 +146,7 @@ def _units(width: int, least: int, hasher: MinHasher) -> Callable:
             for row, data, words, k in _texts(batch):
                 a, b = words.first[k], words.first[k + 1]
                 line, sentence = _starts(data, words, k)
-                at = np.flatnonzero(sentence)
-                length = np.diff(np.append(at, b - a))
-                long_enough = length >= SHORT
-                at, length = at[long_enough], length[long_enough]
+                at, length = _pieces(sentence)
                 key.append(runs(words.hash[a:b], at, length).view(np.int64))
                 pos.append(at.astype(np.int32))
                 size.append(length.astype(np.int32))
@@ -278,6 +293,7 @@ def repeated_passages(
     order = Window.partitionBy("doc_id").orderBy("pos")
     ends = again.withColumns({"before": F.lag(F.col("pos") + F.col("size")).over(order), "next": F.lead("pos").over(order)})
     alone = F.col("before").isNull() | (F.col("pos") > F.col("before") + BRIDGE) | F.col("next").isNull() | (F.col("next") > F.col("pos") + F.col("size") + BRIDGE)
+    alone |= F.col("next") < F.col("pos") + F.col("size")  # a joined piece may end after those that follow it
     ends = scratch.cut(ends.where(alone).select("doc_id", "pos", "size", "key", "lo"), "ends")
     told = units.where("key is not null").select("doc_id", "key", "around").mapInArrow(_held(bitmap_of(ends, "key")), "doc_id long, key long, around binary")
     told = told.select("key", F.col("doc_id").alias("lo"), "around").join(ends.select("key", "lo").distinct(), ["key", "lo"], "left_semi")

@@ -73,3 +73,14 @@ def test_a_passage_that_begins_and_ends_inside_sentences(spark):
     assert out[0].text == rows[0][1]
     for i in (1, 2):
         assert out[i].text == " ".join(hosts[i]) and out[i].removed[0].words == len(p)
+
+
+def test_a_spliced_passage_in_title_case_or_of_short_sentences(spark):
+    rng = random.Random(7)
+    for p in (passage(rng, 6).title(), passage(rng, 6).upper(), " ".join(sentence(rng, rng.randint(1, 3)) for _ in range(30))):
+        hosts = [passage(rng, 12).split(" ") for _ in range(3)]
+        rows = [(i, " ".join([*h[: 31 + i], p, *h[31 + i :]])) for i, h in enumerate(hosts)]
+        out = cut(spark, rows)
+        assert out[0].text == rows[0][1]
+        for i in (1, 2):
+            assert out[i].text == " ".join(hosts[i]) and out[i].removed[0].words == len(p.split())
