@@ -401,10 +401,12 @@ def phrase_rerank(spark, sf_dir):
 
 @query
 def learned_ranker(spark, sf_dir):
-    rows = views.captions(spark, sf_dir).where("cast(substring(scenario_id, 2) as long) % 25 = 0")
+    rows = views.captions(spark, sf_dir)
+    # fitted on every 25th scenario, applied to all
+    fitted = rows.where("cast(substring(scenario_id, 2) as long) % 25 = 0")
     seen = ranker.features(rows, "base", ("base", "fused", "slots"))
-    target = ranker.target_scores(rows, rows.where("source = 'slots'"))
-    weights = ranker.train_ranker(seen.join(target, ["source", "scenario_id", "row_idx"]))
+    target = ranker.target_scores(fitted, fitted.where("source = 'slots'"))
+    weights = ranker.train_ranker(ranker.features(fitted, "base", ("base", "fused", "slots")).join(target, ["source", "scenario_id", "row_idx"]))
     return ranker.apply_ranker(seen, weights, "base").select("scenario_id", "row_idx", "source", F.round("margin", 4).alias("margin"))
 
 
@@ -475,7 +477,7 @@ def crop_geometry(spark, sf_dir):
 @query
 def nearest_frame(spark, sf_dir):
     rows = views.tracks(spark, sf_dir)
-    wanted = rows.where("ord % 10 = 0").select("role", "track", F.expr("ord * 3 % 4001").alias("frame")).distinct()
+    wanted = rows.select("role", "track", F.expr("ord * 3 % 4001").alias("frame")).distinct()
     return tracks.nearest_frame(rows, wanted, ["role", "track"]).select("role", "track", "frame", "image_id")
 
 

@@ -128,3 +128,20 @@ def test_the_heaviest_grams_of_a_bank_in_shares(spark):
     docs = spark.createDataFrame([(i, "en", t) for i, t, _ in DOCS], "doc long, bank string, text string")
     every = sorted(((-r.weight, r.gram) for r in phrase_bank(docs, 2, 10**6).collect()))
     assert sorted((-r.weight, r.gram) for r in phrase_bank(docs, 2, 7).collect()) == every[:7]
+
+
+def test_the_ranker_is_applied_to_scenarios_it_was_not_fitted_on(spark, small):
+    assert any(int(r.scenario_id[1:]) % 25 for r in QUERIES["learned_ranker"](spark, small).collect())
+
+
+def test_every_event_asks_for_its_nearest_frame(spark, small):
+    from tessella.plans import views
+
+    events = [(r.role, r.track, r.ord, r.image_id) for r in views.tracks(spark, small).collect()]
+    of = {}
+    for role, track, ord_, image in events:
+        of.setdefault((role, track), []).append((image, ord_))
+    asked = {(role, track, ord_ * 3 % 4001) for role, track, ord_, _ in events}
+    want = {(*x, min(of[x[:2]], key=lambda y: (abs(y[0] - x[2]), y[1]))[0]) for x in asked}
+    found = [tuple(r) for r in QUERIES["nearest_frame"](spark, small).collect()]
+    assert len(found) == len(want) and set(found) == want
