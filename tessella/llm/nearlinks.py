@@ -12,11 +12,14 @@ one class, so a group of copies of any size is one row here.
    Verified links give components.
 3. Buckets that still hold several components get their missing comparisons:
    pairs of classes from different components, compared inside a task in
-   blocks, a pair only in the first band that both share.  No pair is emitted:
-   a first pass names the classes with a survivor, a second one verifies these
-   on the full sets and emits links of a spanning forest.  A bucket with more
-   classes than BLOCK_ROWS, or larger sets than BLOCK_BYTES, is dealt out as
-   pairs of blocks over several tasks.
+   blocks, a pair only in the first band whose whole key both share.  No pair is
+   emitted: a first pass names the classes with a survivor, a second one
+   verifies these on the full sets and emits links of a spanning forest.  A
+   bucket is first split by set size: sets whose sizes differ by more than the
+   threshold allows can't be linked, so a size step meets itself and the next
+   one only.  What is left of more than BLOCK_ROWS classes, or of larger sets
+   than BLOCK_BYTES, is dealt out as pairs of blocks, by ranges of about equal
+   numbers of rows.
 
 So the links that decide components are those of all banded pairs whose
 posterior passed and whose sets reach the threshold.
@@ -24,6 +27,7 @@ posterior passed and whose sets reach the threshold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bitmap import bitmap_of
 from tessella.llm.components import connected_components
 from tessella.llm.minhash import MinHasher, Posterior
 from tessella.llm.scratch import Scratch
 
 #: Classes of a bucket that one task compares with each other, and bytes of their sets.
-BLOCK_ROWS, BLOCK_BYTES = 768, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: Pairs whose signatures are gathered at once.
+PAIRS = 8192
 
 
 def similar(left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> bool:
@@ -99,31 +104,26 @@ def _across(table: pa.Table, hasher: MinHasher, test: Posterior) -> tuple[np.nda
     """Row pairs of one unit that belong to its band, join two components and pass the posterior."""
     n = table.num_rows
     sig = _matrix(table.column("sig"), hasher.size)
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(n, hasher.bands)
     root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
     part = table.column("part").to_numpy()
     split = part.min() != part.max()
     band = int(table.column("band")[0].as_py())
-    found_u, found_v = [], []
-    step = max(1, (4 << 20) // max(1, n * test.batch))
     first = min(test.least)
-    for i in range(0, n, step):
-        rows = np.arange(i, min(n, i + step))
-        wanted = root[rows, None] != root[None, :]
+    found_u, found_v = [], []
+    for i in range(n):
         # a unit of two blocks compares one with the other, a unit of one block all of its rows
-        wanted &= part[rows, None] < part[None, :] if split else rows[:, None] < np.arange(n)[None, :]
-        if not wanted.any():
-            continue
-        u, v = np.nonzero(wanted & ((sig[rows, None, :first] == sig[None, :, :first]).sum(2) >= test.least[first]))
-        u = rows[u]
-        keep = test.alive(sig[u], sig[v])
-        u, v = u[keep], v[keep]
-        cover = hasher.bands * hasher.rows
-        for j in range(0, len(u), 8192):
-            a, b = u[j : j + 8192], v[j : j + 8192]
-            shared = (sig[a, :cover] == sig[b, :cover]).reshape(len(a), hasher.bands, hasher.rows).all(2)
-            own = shared.argmax(1) == band
-            found_u.append(a[own])
-            found_v.append(b[own])
+        wanted = part > part[i] if split else np.arange(n) > i
+        v = np.flatnonzero(wanted & (root != root[i]))
+        v = v[(sig[v, :first] == sig[i, :first]).sum(1) >= test.least[first]]
+        for j in range(0, len(v), PAIRS):
+            w = v[j : j + PAIRS]
+            w = w[test.alive(np.broadcast_to(sig[i], (len(w), hasher.size)), sig[w])]
+            if band:
+                w = w[~(keys[w, :band] == keys[i, :band]).any(1)]
+            if len(w):
+                found_u.append(np.full(len(w), i))
+                found_v.append(w)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *found_u]), np.concatenate([none, *found_v])
 
@@ -166,7 +166,7 @@ def _forest(hasher: MinHasher, test: Posterior, threshold: tuple[int, int]) -> C
 
 def near_components(
     classes: DataFrame,
-    sets_of: Callable[[np.ndarray], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
     hasher: MinHasher,
     threshold: tuple[int, int],
     miss: float,
@@ -174,52 +174,63 @@ def near_components(
 ) -> DataFrame:
     """``(digest, root)`` for the classes that have a link; root is the component's least digest.
 
-    classes: ``digest binary, bit long, n long, sig binary, keys array<long>``, one
-    row per distinct set that isn't empty.  sets_of: given a bitmap of ``bit``
-    values, a frame ``(digest, set)`` with the sorted members of at least those
-    classes.
+    classes: ``digest binary, n long, sig binary, keys array<long>``, one row per
+    distinct set that isn't empty.  sets_of: given a frame of digests, a frame
+    ``(digest, set)`` with the sorted members of at least those classes.
     """
     spark = classes.sparkSession
     test = Posterior(hasher.size, threshold[0] / threshold[1], miss)
     banded = classes.select("digest", F.posexplode("keys").alias("band", "key"))
     # keys and centres are cut, so that Spark can split a hot bucket on the other side of their joins
-    shared = scratch.cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"), "shared")
+    shared = scratch.cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("digest").alias("v")).where("held > 1").select("key", "v"), "shared")
     members = scratch.cut(banded.join(shared, "key"), "members")
+    scratch.drop(shared)
 
     # 2. star links
-    centres = scratch.cut(members.groupBy("key").agg(F.min("digest").alias("v")), "centres")
-    star = members.join(centres, "key").where("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
+    star = members.where("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
     signed = classes.select("digest", "sig")
     star = star.join(signed.toDF("u", "sig_u"), "u").join(signed.toDF("v", "sig_v"), "v").select("u", "v", "sig_u", "sig_v")
     likely = scratch.cut(star.mapInArrow(_prune(hasher, test), "u binary, v binary"), "likely")
 
-    wanted = members.select("digest").distinct()
-    bits = bitmap_of(classes.join(wanted, "digest", "left_semi"), "bit")
-    sets = scratch.cut(sets_of(bits).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-        return both.select("u", "v", "set_u", "set_v").mapInArrow(_verify(threshold), "u binary, v binary")
-
-    links = scratch.cut(verified(likely), "links")
+    wanted = scratch.cut(members.select("digest").distinct(), "wanted")
+    sets = scratch.cut(sets_of(wanted).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    both = likely.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v").select("u", "v", "set_u", "set_v")
+    links = scratch.cut(both.mapInArrow(_verify(threshold), "u binary, v binary"), "links")
     rooted = scratch.cut(connected_components(links, scratch), "rooted")
+    scratch.drop(likely, links, wanted)
 
     # 3. pairs across components
-    placed = members.join(rooted.toDF("digest", "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    placed = placed.join(classes.select("digest", "sig", "n"), "digest")
-    # sums per key: least and greatest component, rows, bytes of the sets
-    size = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("held"), F.sum(F.col("n") * 8).alias("bytes")).where("lo <> hi")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("held") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    open_ = placed.join(size.select("key", blocks.alias("blocks")), "key").withColumn("part", F.expr("cast(pmod(xxhash64(digest), blocks) as int)"))
-    units = open_.select(
-        "key", "band", "digest", "root", "sig", "part", F.expr("explode(transform(sequence(0, blocks - 1), j -> struct(least(part, j) as i, greatest(part, j) as j)))").alias("of")
-    ).select(F.xxhash64("key", "of.i", "of.j").alias("unit"), "band", "digest", "root", "sig", "part")
+    step = max(math.log(threshold[1] / threshold[0]), 1e-9)
+    placed = members.drop("v").join(rooted.toDF("digest", "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    # linked sets are at most one step of size apart; the margin is for rounding
+    steps = F.floor(F.log(F.col("n").cast("double")) / (step * 1.000001)).cast("int")
+    placed = placed.join(classes.select("digest", "n"), "digest").select("key", "band", "digest", "root", "n", F.explode(F.array(steps, steps + 1)).alias("level"), steps.alias("own"))
+    # sums per bucket and step, over the sets of the step and of the one below: least and greatest component, rows, bytes of the sets
+    mine = F.col("own") == F.col("level")
+    size = placed.groupBy("key", "level").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.when(mine, 1)).alias("upper"), F.count(F.when(~mine, 1)).alias("lower"),
+        F.sum(F.when(mine, F.col("n") * 8).otherwise(0)).alias("upper_bytes"), F.sum(F.when(mine, 0).otherwise(F.col("n") * 8)).alias("lower_bytes"),
+    ).where("lo <> hi and upper > 0")
+
+    def blocks(rows: str, size_: str):
+        return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size_) / BLOCK_BYTES)).cast("int")
+
+    # parts 0 to b - 1 are the step's own blocks, parts b to b + c - 1 those of the step below
+    size = size.select("key", "level", blocks("upper", "upper_bytes").alias("b"), blocks("lower", "lower_bytes").alias("c"))
+    open_ = placed.join(size, ["key", "level"]).withColumn("part", F.expr("cast(if(own = level, pmod(xxhash64(digest), b), b + pmod(xxhash64(digest), c)) as int)"))
+    meets = "if(part < b, sequence(0, b + c - 1), sequence(0, b - 1))"
+    units = open_.select("key", "band", "level", "digest", "root", "part", F.expr(f"explode(transform({meets}, j -> struct(least(part, j) as i, greatest(part, j) as j)))").alias("of"))
+    units = units.select(F.concat_ws(":", "key", "level", "of.i", "of.j").alias("unit"), "band", "digest", "root", "part")
+    # a unit with one component has nothing to compare
+    worth = units.groupBy("unit").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("unit")
+    units = scratch.cut(units.join(worth, "unit", "left_semi"), "units")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "unit long, band int, digest binary, root binary, sig binary, part int"
-    spread = units.repartition(n, "unit").sortWithinPartitions("unit", "digest")
-    survivors = scratch.cut(spread.mapInArrow(_survivors(hasher, test), schema), "survivors")
-    spread = survivors.join(sets, "digest").select("unit", "band", "digest", "root", "sig", "part", "set").repartition(n, "unit").sortWithinPartitions("unit", "digest")
-    more = scratch.cut(spread.mapInArrow(_forest(hasher, test, threshold), "u binary, v binary"), "more")
+    schema = "unit string, band int, digest binary, root binary, sig binary, keys array<long>, part int"
+    signed = units.join(classes.select("digest", "sig", "keys"), "digest").select("unit", "band", "digest", "root", "sig", "keys", "part")
+    survivors = scratch.cut(signed.repartitionByRange(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_survivors(hasher, test), schema), "survivors")
+    held = survivors.join(sets, "digest").select("unit", "band", "digest", "root", "sig", "keys", "part", "set")
+    more = scratch.cut(held.repartitionByRange(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_forest(hasher, test, threshold), "u binary, v binary"), "more")
+    scratch.drop(members, sets, units, survivors)
 
     if more.isEmpty():
         return rooted.toDF("digest", "root")

@@ -1,22 +1,24 @@
-"""Substring deduplication: paragraph MinHash banding, with sentence runs for spliced passages.
-
-A *paragraph* is a line.  Lines of ``min_words`` words or more are sketched,
-banded, verified by exact Jaccard on their shingle sets and clustered by
-components.  A passage can also repeat inside a line, between other words,
-where no line-level similarity shows it; so each line is cut further at
-sentence starts, and sentences with equal words are classes of their own,
-found by one exact key (a band over the whole set needs no verification).
-Sentences of one to three words, as in titles, lists and names, are keyed
-together with their followers.
-Every paragraph or sentence class keeps the occurrence in its least document;
-an occurrence in any later document is a repeat.  Repeats that touch, or have
-at most ``BRIDGE`` words between them, form a run.  A passage may begin and end
-inside a sentence, so a run's ends are moved outward, word by word, while the
-text goes on as the keeper's does; for this every sentence carries a byte of
-each of the ``REACH`` words before and after it, and only the sentences at the
-ends of runs look up their keeper's.  Runs of ``min_run`` words or more are cut
-from the text; min_run is a little below min_words, since a longer cut-off
-sentence is not followed to its end.
+"""Substring deduplication: MinHash banding of paragraphs and of the windows inside them.
+
+Two sorts of paragraphs are banded.
+
+*Lines* of ``min_words`` words or more are sketched, banded, verified by exact
+Jaccard on their shingle sets and clustered by components: edited copies.
+
+*Windows* are all stretches of ``min_words`` words of a document, wherever they
+begin and whatever lines they cross: passages spliced into other text, where no
+similarity of lines shows them.  A window's set holds its runs of GRAM words,
+and its one band is the least hash of these.  Equal windows share it whatever
+surrounds them, so the recall is 1; and since neighbouring windows mostly share
+it as well, a document has about two keys for each ``min_words - GRAM`` words.
+Windows that hold a key of another document are then compared by 128-bit
+digests of all their words: similarity 1, edit distance 0.
+
+Every component of lines and every window keeps the occurrence in its least
+document; an occurrence in a document with a greater doc_id is a repeat.  The
+union of the repeats is cut.  So a word goes only if it lies in a line of a
+component, or in ``min_words`` words that some one earlier document holds in
+that order; nothing is bridged and no end is guessed.
 """
 
 from __future__ import annotations
@@ -25,240 +27,211 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.bitmap import bitmap_of, in_bitmap
 from tessella.llm.minhash import MinHasher
-from tessella.llm.neardup import digest_of
+from tessella.llm.neardup import digest_of, text_digest_of
 from tessella.llm.nearlinks import near_components
 from tessella.llm.scratch import Scratch
-from tessella.llm.words import Words, groups, runs, shingles, slices, utf8
-
-#: Sentences below SHORT words are joined with those after them until they have JOINED words; a run may bridge up to BRIDGE unmatched words.
-SHORT, JOINED, BRIDGE = 4, 8, 6
-#: Words on each side of a sentence that a run can be moved along.
-REACH = 16
-#: A sentence above LONG words is cut before words whose hash is divisible by 8.
-LONG = 32
-
-
-def _starts(data: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of text k: flags of words that open a line, and of those that open a sentence."""
-    a, b = words.first[k], words.first[k + 1]
-    start, end = words.start[a:b], words.end[a:b]
-    line = _opens_line(data, words, k)
-    one, two = data[start], data[np.minimum(start + 1, len(data) - 1)]
-    # capitals: A-Z, Latin-1 supplement, Greek, Cyrillic
-    upper = (one >= 65) & (one <= 90)
-    upper |= (one == 0xC3) & (two >= 0x80) & (two <= 0x9E) & (two != 0x97)
-    upper |= ((one == 0xCE) & (two >= 0x91) & (two <= 0xA9)) | ((one == 0xD0) & (two >= 0x80) & (two <= 0xAF))
-    closed = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8))
-    sentence = line | upper
-    sentence[1:] |= closed[:-1]
-    size = np.diff(np.append(np.flatnonzero(sentence), b - a))
-    if len(size) and size.max() > LONG:
-        inside = np.repeat(size > LONG, size)
-        sentence |= inside & (words.hash[a:b] & np.uint64(7) == 0)
-    return line, sentence
-
-
-def _pieces(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and numbers of words of a text's sentences, short ones with their followers.
-
-    A joined piece is known by the words from its start on alone, wherever the
-    text before it was cut, so joined pieces overlap.
-    """
-    n = len(sentence)
-    at = np.flatnonzero(sentence)
-    end = np.append(at[1:], n)
-    short = end - at < SHORT
-    next_ = np.append(at, n)
-    end[short] = next_[np.minimum(np.searchsorted(next_, at[short] + JOINED), len(at))]
-    keyed = end - at >= SHORT
-    return at[keyed], (end - at)[keyed]
-
-
-def _lines(line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and numbers of words of a text's lines with ``least`` words or more."""
-    at = np.flatnonzero(line)
-    size = np.diff(np.append(at, len(line)))
-    return at[size >= least], size[size >= least]
-
-
-def _opens_line(data: np.ndarray, words: Words, k: int) -> np.ndarray:
-    """Flags of the words of text k that open a line."""
-    a, b = words.first[k], words.first[k + 1]
-    start = words.start[a:b]
-    line = np.ones(b - a, bool)
-    breaks = np.flatnonzero(data[start[0] : start[-1]] == 0x0A) + start[0]
-    line[1:] = np.searchsorted(breaks, start[1:]) > np.searchsorted(breaks, start[:-1])
-    return line
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Words, int]]:
-    """(row, bytes, words, index in words) of each text that has a word."""
-    data, offsets = utf8(batch.column("text"))
+from tessella.llm.words import Words, groups, mix, runs, shingles, slices, utf8
+
+#: Words in a run of which windows share the least hash: half of a window of 50.
+GRAM = 25
+#: Rows that a task gathers before it hands them on.
+ROWS = 1 << 17
+OTHER = np.uint64(0x8EBC6AF09C88C6E3)
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, Words]]:
+    """(first row, bytes, words) of stretches of texts; a text is never split."""
+    data, offsets = utf8(column)
     for i, j in groups(offsets):
         part = data[offsets[i] : offsets[j]]
-        words = Words(part, offsets[i : j + 1] - offsets[i])
-        for k in range(j - i):
-            if words.first[k + 1] > words.first[k]:
-                yield i + k, part, words, k
+        yield i, part, Words(part, offsets[i : j + 1] - offsets[i])
 
 
-UNITS = "doc_id long, pos int, size int, key long, around binary, n int, digest binary, sig binary, keys array<long>, bit long"
+def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words, by its first word."""
+    at = np.arange(max(0, len(hashes) - size + 1))
+    return runs(hashes, at, np.full(len(at), size)) if len(at) else np.zeros(0, np.uint64)
 
 
-def _bytes(hashes: np.ndarray) -> np.ndarray:
-    """A byte of each word, 0 for none."""
-    return (hashes >> np.uint64(32)).astype(np.uint8) | np.uint8(1)
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of every ``size`` neighbours, by doubling."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
 
 
-def _around(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each sentence the bytes of the REACH words before it and after it; a row a sentence."""
-    edge = np.zeros(REACH, np.uint8)
-    padded = np.concatenate((edge, _bytes(hashes), edge))
-    step = np.arange(REACH)
-    return np.concatenate((padded[at[:, None] + step], padded[(at + size)[:, None] + REACH + step]), 1)
+def window_keys(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) for the windows of every text, neighbours with one key taken once."""
+    gram = min(GRAM, least)
+    if len(words.hash) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    keys = _least(_grams(words.hash, gram), least - gram + 1)
+    at = np.arange(len(keys))
+    owner = np.searchsorted(words.first, at, "right") - 1
+    keep = at + least <= words.first[owner + 1]
+    keep[1:] &= (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return owner[keep], keys[keep]
 
 
-def _held(bits: np.ndarray) -> Callable:
-    """Sentences whose key has its bit set."""
+def _lines(data: np.ndarray, words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, number of words) of the lines with ``least`` words or more."""
+    start = words.start
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), start)
+    opens = np.ones(len(start), bool)
+    opens[1:] = line[1:] != line[:-1]
+    opens[words.first[:-1][words.first[:-1] < len(start)]] = True
+    at = np.flatnonzero(opens)
+    size = np.diff(np.append(at, len(start)))
+    at, size = at[size >= least], size[size >= least]
+    return np.searchsorted(words.first, at, "right") - 1, at, size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits, batch.column("key").to_numpy())))
 
-    return run
+_LINE = pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+UNITS = "uid binary, doc_id long, seeds array<long>, lines array<struct<pos:int,size:int,n:int,digest:binary,sig:binary,keys:array<long>>>"
 
 
 def _units(width: int, least: int, hasher: MinHasher) -> Callable:
-    """Sentence rows (key set) and paragraph rows (digest set)."""
+    """For each text of ``least`` words or more the keys of its windows and the sketches of its long lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            doc, pos, size, key, around = [], [], [], [], []
-            p_doc, p_pos, p_size, p_n, digest, sig, keys, bits = [], [], [], [], [], [], [], []
-            none = np.zeros(0, np.int64)
-            for row, data, words, k in _texts(batch):
-                a, b = words.first[k], words.first[k + 1]
-                line, sentence = _starts(data, words, k)
-                at, length = _pieces(sentence)
-                key.append(runs(words.hash[a:b], at, length).view(np.int64))
-                pos.append(at.astype(np.int32))
-                size.append(length.astype(np.int32))
-                doc.append(np.full(len(at), ids[row], np.int64))
-                around.append(_around(words.hash[a:b], at, length))
-                first, count = _lines(line, least)
-                same = runs(words.hash[a:b], first, count).view(np.int64) if len(first) else none
-                for first, count, bit in zip(first.tolist(), count.tolist(), same.tolist()):
-                    members = shingles(words, a + first, a + first + count, width)
+            rows, seeds, seed_ends, lines, line_ends = [], [np.zeros(0, np.uint64)], [0], [], [0]
+            for i, data, words in _chunks(batch.column("text")):
+                long = np.diff(words.first) >= least
+                owner, keys = window_keys(words, least)
+                held = np.bincount(owner, minlength=len(long))
+                text, at, size = _lines(data, words, least)
+                for a, n in zip(at.tolist(), size.tolist()):
+                    members = shingles(words, a, a + n, width)
                     minima = hasher.minima(members)
-                    p_doc.append(ids[row])
-                    p_pos.append(first)
-                    p_size.append(count)
-                    p_n.append(len(members))
-                    digest.append(digest_of(members))
-                    sig.append(hasher.packed(minima))
-                    keys.append(hasher.keys(minima))
-                    bits.append(bit)
-            schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("around", pa.binary()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("bit", pa.int64())])
-            if doc:
-                n = sum(map(len, doc))
-                columns = [pa.array(np.concatenate(x)) for x in (doc, pos, size, key)]
-                ends = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (2 * REACH)).tobytes())
-                columns.append(pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.concatenate(around).tobytes())]))
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
-            if p_doc:
-                ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * hasher.bands)
-                columns = [pa.array(p_doc, pa.int64()), pa.array(p_pos, pa.int32()), pa.array(p_size, pa.int32()), pa.nulls(len(p_doc), pa.int64()), pa.nulls(len(p_doc), pa.binary()), pa.array(p_n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.array(bits, pa.int64())], schema=schema)
+                    lines.append((len(members), digest_of(members), hasher.packed(minima), hasher.keys(minima)))
+                lines[len(lines) - len(at) :] = [(a, n, *x) for a, n, x in zip((at - words.first[text]).tolist(), size.tolist(), lines[len(lines) - len(at) :])]
+                rows.append(np.flatnonzero(long) + i)
+                seeds.append(keys)
+                seed_ends.extend((seed_ends[-1] + np.cumsum(held[long])).tolist())
+                line_ends.extend((line_ends[-1] + np.cumsum(np.bincount(text, minlength=len(long))[long])).tolist())
+            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * hasher.bands), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[5] for x in lines)])))
+            made = [*(pa.array([x[k] for x in lines], _LINE[k].type) for k in range(5)), keys]
+            told = pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), pa.StructArray.from_arrays(made, fields=list(_LINE)))
+            seeds = pa.ListArray.from_arrays(pa.array(seed_ends, pa.int32()), pa.array(np.concatenate(seeds).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), batch.column("doc_id").take(rows), seeds, told], ["uid", "doc_id", "seeds", "lines"])
 
     return run
 
 
-def _sets(width: int, least: int, bits: np.ndarray) -> Callable:
+def _windows(least: int) -> Callable:
+    """The digests of the windows that hold one of the text's ``seeds``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = min(GRAM, least)
+        held: list[list[np.ndarray]] = []
+
+        def handed() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "lo", "cls", "pos"])
+
         for batch in slices(batches):
+            lo, cls = batch.column("lo").to_numpy(), batch.column("cls").to_numpy()
+            seeds = batch.column("seeds")
+            for i, _, words in _chunks(batch.column("text")):
+                grams, first = _grams(words.hash, gram), words.first
+                one, two = (_grams(x, least) for x in (words.hash, mix(words.hash ^ OTHER)))
+                for k in range(len(first) - 1):
+                    a, b = first[k], first[k + 1]
+                    if b - a < least:
+                        continue
+                    wanted = seeds[i + k].values.to_numpy().view(np.uint64)
+                    hit = np.concatenate(([0], np.cumsum(np.isin(grams[a : b - gram + 1], wanted))))
+                    # a window holds the runs that begin at its first least - gram + 1 words
+                    at = np.flatnonzero(hit[least - gram + 1 :] > hit[: b - a - least + 1])
+                    n = len(at)
+                    held.append([one[a + at].view(np.int64), two[a + at].view(np.int64), np.full(n, lo[i + k]), np.full(n, cls[i + k]), at.astype(np.int32)])
+                    if sum(len(x[0]) for x in held[-64:]) > ROWS or len(held) >= 256:
+                        yield handed()
+        if held:
+            yield handed()
+
+    return run
+
+
+def _line_sets(width: int) -> Callable:
+    """The full sets of the lines at ``places`` of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
             digest, sets = [], []
-            for _, data, words, k in _texts(batch):
-                a, b = words.first[k], words.first[k + 1]
-                if b - a < least:
-                    continue
-                first, count = _lines(_opens_line(data, words, k), least)
-                if not len(first):
-                    continue
-                wanted = in_bitmap(bits, runs(words.hash[a:b], first, count).view(np.int64))
-                for at, size in zip(first[wanted].tolist(), count[wanted].tolist()):
-                    members = shingles(words, a + at, a + at + size, width)
-                    digest.append(digest_of(members))
-                    sets.append(members.tobytes())
+            places = batch.column("places").to_pylist()
+            for i, _, words in _chunks(batch.column("text")):
+                for k in range(len(words.first) - 1):
+                    for x in places[i + k]:
+                        a = words.first[k] + x["pos"]
+                        members = shingles(words, a, a + x["size"], width)
+                        digest.append(digest_of(members))
+                        sets.append(members.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["digest", "set"])
 
     return run
 
 
-def merged(spans: list[tuple[int, int]], gap: int) -> list[list[int]]:
-    """Runs [first word, end] of spans (first word, end) with at most ``gap`` words between them."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1] + gap:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-def passages(repeats: list[dict], hashes: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs (first word, end) of ``least`` words or more, of repeats (``pos, size`` and, at ends of runs, ``around`` of the keeper)."""
-    n, own = len(hashes), _bytes(hashes)
-    before, after = {}, {}
-    for x in repeats:
-        if x["around"] is not None:
-            before[x["pos"]] = after[x["pos"] + x["size"]] = np.frombuffer(x["around"], np.uint8)
-    runs_ = merged([(min(x["pos"], n), min(x["pos"] + x["size"], n)) for x in repeats], BRIDGE)
-    for run in runs_:
-        a, b = run
-        if a in before:
-            k = min(REACH, a)
-            same = own[a - k : a][::-1] == before[a][REACH - k : REACH][::-1]
-            run[0] = a - (k if same.all() else int(same.argmin()))
-        if b in after:
-            k = min(REACH, n - b)
-            same = own[b : b + k] == after[b][REACH : REACH + k]
-            run[1] = b + (k if same.all() else int(same.argmin()))
-    return [(a, b) for a, b in merged([tuple(r) for r in runs_], 0) if b - a >= least]
-
-
-def _cut(least: int, names: list[str], text_at: int) -> Callable:
-    """Cuts the runs of the repeats in ``_repeats`` from the text; adds the spans that went."""
+def merged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of stretches (first word, number of words) as disjoint ones in order; stretches that touch are one."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], np.maximum.accumulate((first + size)[order])
+    opens = np.concatenate(([True], a[1:] > b[:-1]))
+    at = np.flatnonzero(opens)
+    return a[at], np.append(b[at[1:] - 1], b[-1]) - a[at]
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        spans = batch.column("spans")
+        firsts, sizes, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+        for x in spans:
+            first, size = merged(*(x.values.field(k).to_numpy() for k in (0, 1)))
+            firsts.append(first.astype(np.int32))
+            sizes.append(size.astype(np.int32))
+            ends.append(ends[-1] + len(first))
+        made = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(sizes))], ["first_word", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("lo"), batch.column("cls"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)], ["lo", "cls", "spans"])
+
+
+def _cut(names: list[str], text_at: int) -> Callable:
+    """Cuts the stretches in ``_spans``, or with ``_whole`` all words, from the text; adds the spans that went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            repeats = batch.column("_repeats")
-            texts = batch.column(names[text_at])
+            whole, spans, texts = batch.column("_whole"), batch.column("_spans"), batch.column(names[text_at])
             new: dict[int, tuple[str, list]] = {}
-            for row in np.flatnonzero(repeats.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            some = whole.to_numpy(zero_copy_only=False) | spans.is_valid().to_numpy(zero_copy_only=False)
+            for row in np.flatnonzero(some).tolist():
                 raw = (texts[row].as_py() or "").encode()
                 words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                spans = passages(repeats[row].as_py(), words.hash, least)
                 n = len(words.start)
-                kept, at, gone = [], 0, []
-                for a, b in spans:
-                    if a < b:
-                        kept.append(raw[at : words.start[a]])
-                        at = int(words.start[b]) if b < n else len(raw)
-                        gone.append({"first_word": a, "words": b - a})
-                if gone:
-                    new[row] = (b"".join([*kept, raw[at:]]).decode().rstrip() if at == len(raw) else b"".join([*kept, raw[at:]]).decode(), gone)
+                gone = [{"first_word": 0, "words": n}] if whole[row].as_py() else spans[row].as_py()
+                kept, at = [], 0
+                for x in gone:
+                    a, b = x["first_word"], x["first_word"] + x["words"]
+                    kept.append(raw[at : words.start[a]])
+                    at = int(words.start[b]) if b < n else len(raw)
+                text = b"".join([*kept, raw[at:]]).decode()
+                new[row] = (text.rstrip() if at == len(raw) else text, gone)
             columns = [batch.column(x) for x in names]
             if new:
                 columns[text_at] = pa.array([new[i][0] if i in new else x for i, x in enumerate(texts.to_pylist())], texts.type)
-            spans = pa.array([new[i][1] if i in new else [] for i in range(batch.num_rows)], pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "removed"])
+            removed = pa.array([new[i][1] if i in new else [] for i in range(batch.num_rows)], pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "removed"])
 
     return run
 
@@ -267,73 +240,88 @@ def repeated_passages(
     docs: DataFrame,
     width: int = 5,
     threshold: tuple[int, int] = (80, 100),
-    bands: int = 8,
-    rows: int = 2,
-    signature: int = 32,
+    bands: int = 20,
+    rows: int = 4,
     min_words: int = 50,
     miss: float = 1e-6,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """``(doc_id, repeats)``: the repeated paragraphs and sentences of each document that has some.
+    """``uid, lo, hi, spans`` for each distinct text that has a repeat or occurs under several doc_ids.
+
+    docs: ``doc_id long, text string, uid binary``, without nulls.  uid is the
+    digest of the text, lo and hi the least and greatest doc_id with it; spans
+    are the repeats in it as ``array<struct<first_word int, words int>>``, in
+    order and apart, as the text stands in lo.  Beyond lo the whole text is a
+    repeat.  Texts below ``min_words`` words are left out.
 
-    ``bands`` bands of ``rows`` values find a pair of paragraphs with a
-    similarity of 0.8 with probability 0.9997, of 0.9 with 0.999998.
+    ``bands`` bands of ``rows`` values find a pair of lines with a similarity
+    of 0.8 with probability 0.99997, of 0.9 with 1 - 1e-9.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hasher = MinHasher(signature, bands, rows)
-    units = scratch.cut(docs.mapInArrow(_units(width, min_words, hasher), UNITS), "units")
-
-    sentences = units.where("key is not null").select("doc_id", "pos", "size", "key")
-    # cut, so that Spark can split a hot sentence on the other side of the join
-    held = scratch.cut(sentences.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"), "held")
-    again = scratch.cut(sentences.join(held, "key").where("doc_id > lo").select("doc_id", "pos", "size", "key", "lo"), "again")
-
-    # the keeper's words around the sentences at the ends of runs
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    ends = again.withColumns({"before": F.lag(F.col("pos") + F.col("size")).over(order), "next": F.lead("pos").over(order)})
-    alone = F.col("before").isNull() | (F.col("pos") > F.col("before") + BRIDGE) | F.col("next").isNull() | (F.col("next") > F.col("pos") + F.col("size") + BRIDGE)
-    alone |= F.col("next") < F.col("pos") + F.col("size")  # a joined piece may end after those that follow it
-    ends = scratch.cut(ends.where(alone).select("doc_id", "pos", "size", "key", "lo"), "ends")
-    told = units.where("key is not null").select("doc_id", "key", "around").mapInArrow(_held(bitmap_of(ends, "key")), "doc_id long, key long, around binary")
-    told = told.select("key", F.col("doc_id").alias("lo"), "around").join(ends.select("key", "lo").distinct(), ["key", "lo"], "left_semi")
-    told = scratch.cut(told.groupBy("key", "lo").agg(F.min("around").alias("around")), "told")
-    ends = ends.join(told, ["key", "lo"]).select("doc_id", "pos", "size", "around")
-    again = again.select("doc_id", "pos", "size", F.lit(None).cast("binary").alias("around")).unionByName(ends)
-
-    paragraphs = units.where("digest is not null").select("doc_id", "pos", "size", "n", "digest", "sig", "keys", "bit")
-    # bit: the word sequence of one paragraph of the class, by which the second pass finds it
-    folded = paragraphs.groupBy("digest").agg(F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("bit").alias("bit"))
-    classes = scratch.cut(folded, "classes")
-
-    def sets_of(bits: np.ndarray) -> DataFrame:
-        return docs.mapInArrow(_sets(width, min_words, bits), "digest binary, set binary")
-
-    rooted = near_components(classes, sets_of, hasher, threshold, miss, scratch)
-    placed = paragraphs.select("doc_id", "pos", "size", "digest").join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    kept = scratch.cut(placed.groupBy("root").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("root", "lo"), "kept")
-    similar = placed.join(kept, "root").where("doc_id > lo").select("doc_id", "pos", "size", F.lit(None).cast("binary").alias("around"))
-    # a document's repeats are at most its words
-    return again.unionByName(similar).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size", "around")).alias("repeats"))
-
-
-def dedup_passages(docs: DataFrame, min_words: int = 50, min_run: int = 45, **options) -> DataFrame:
+    hasher = MinHasher(bands * rows, bands, rows)
+    units = docs.mapInArrow(_units(width, min_words, hasher), UNITS)
+    # copies fold into one class before anything else is done
+    folded = units.groupBy("uid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("seeds").alias("seeds"), F.first("lines").alias("lines"))
+    # with lo, half of the digest names a class: texts of one doc_id only have to differ in it
+    half = F.conv(F.hex(F.substring("uid", 1, 8)), 16, -10).cast("long")
+    classes = scratch.cut(folded.withColumn("cls", half), "classes")
+    texts = docs.select("uid", F.col("doc_id").alias("lo"), "text")
+
+    # windows: the keys that two documents hold, then the windows that hold such a key
+    seeds = classes.select("uid", "lo", F.explode("seeds").alias("seed"))
+    several = F.min("lo") < F.max("lo")
+    shared = scratch.cut(seeds.groupBy("seed").agg(several.alias("several")).where("several").select("seed"), "shared")
+    marked = scratch.cut(seeds.join(shared, "seed").groupBy("uid", "lo").agg(F.collect_set("seed").alias("seeds")), "marked")
+    read = texts.join(marked.join(classes.select("uid", "cls"), "uid"), ["uid", "lo"]).select("lo", "cls", "seeds", "text")
+    windows = scratch.cut(read.mapInArrow(_windows(min_words), "k1 long, k2 long, lo long, cls long, pos int"), "windows")
+    scratch.drop(shared, marked)
+    held = scratch.cut(windows.groupBy("k1", "k2").agg(F.min("lo").alias("keeper"), F.max("lo").alias("last")).where("keeper < last").select("k1", "k2", "keeper"), "held")
+    again = windows.join(held, ["k1", "k2"]).where("lo > keeper").select("lo", "cls", F.struct(F.col("pos").alias("first_word"), F.lit(min_words).alias("words")).alias("span"))
+
+    # lines: components of edited copies
+    lines = classes.select("uid", "lo", "cls", F.inline("lines"))
+    classes_of_lines = scratch.cut(lines.groupBy("digest").agg(F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min(F.struct("uid", "lo", "pos", "size")).alias("at")), "lines")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        places = classes_of_lines.join(wanted, "digest", "left_semi").groupBy("at.uid", "at.lo").agg(F.collect_list(F.struct("at.pos", "at.size")).alias("places"))
+        return texts.join(places, ["uid", "lo"]).select("text", "places").mapInArrow(_line_sets(width), "digest binary, set binary")
+
+    rooted = near_components(classes_of_lines.drop("at"), sets_of, hasher, threshold, miss, scratch)
+    placed = lines.select("lo", "cls", "pos", "size", "digest").join(rooted, "digest").select("lo", "cls", "pos", "size", "root")
+    kept = scratch.cut(placed.groupBy("root").agg(F.min("lo").alias("keeper"), F.max("lo").alias("last")).where("keeper < last").select("root", "keeper"), "kept")
+    edited = placed.join(kept, "root").where("lo > keeper").select("lo", "cls", F.struct(F.col("pos").alias("first_word"), F.col("size").alias("words")).alias("span"))
+
+    # a text's repeats are at most its words
+    spans = again.unionByName(edited).groupBy("lo", "cls").agg(F.collect_list("span").alias("spans"))
+    spans = spans.mapInArrow(_merged, "lo long, cls long, spans array<struct<first_word:int,words:int>>")
+    told = classes.select("uid", "lo", "hi", "cls").join(spans, ["lo", "cls"], "left").where("hi > lo or spans is not null").select("uid", "lo", "hi", "spans")
+    told = scratch.cut(told, "repeats")
+    scratch.drop(classes, windows, held, classes_of_lines, kept)
+    return told
+
+
+def dedup_passages(docs: DataFrame, min_words: int = 50, **options) -> DataFrame:
     """Cut passages of ``min_words`` words or more that an earlier document holds as well.
 
     docs: ``doc_id long, text string`` and any other columns, which pass
     through.  Returns its rows and columns with the text cut, and ``removed
     array<struct<first_word int, words int>>``, word positions in the old text.
-    The least doc_id that holds a passage keeps it.
+    Words are compared with A-Z lower-cased; line breaks don't matter to equal
+    passages.  The least doc_id that holds a passage keeps it.
 
     Defined cases: a null or empty text is unchanged; a null doc_id takes no
-    part and is unchanged; repeats inside one document stay; rows that repeat a
-    doc_id are the same document, and each is cut alike; a text that is all
-    repeated becomes empty and its row stays.  Columns named ``removed`` or
-    ``_repeats`` in docs are replaced.
+    part and is unchanged; repeats inside one document stay, and rows that share
+    a doc_id are one document in that sense: whatever their texts are, they
+    repeat none of each other's; a text that is all repeated becomes empty and
+    its row stays.  A column named ``removed`` in docs is replaced.
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
-    docs = docs.drop("removed", "_repeats")
-    repeats = scratch.cut(repeated_passages(docs, min_words=min_words, scratch=scratch, **options).withColumnRenamed("repeats", "_repeats"), "repeats")
+    docs = docs.drop("removed")
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("uid", text_digest_of(F.col("text")))
+    repeats = repeated_passages(told, min_words=min_words, scratch=scratch, **options).select(F.col("uid").alias("_uid"), F.col("lo").alias("_lo"), F.col("spans").alias("_spans"))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("words", T.IntegerType())])))])
-    return docs.join(repeats, docs.doc_id == repeats.doc_id, "left").select(*(docs[x] for x in names), "_repeats").mapInArrow(_cut(min_run, names, names.index("text")), schema)
+    row = docs.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_digest_of(F.col("text")).alias("_text"))
+    beyond = F.coalesce(F.col("_id") > F.col("_lo"), F.lit(False))
+    both = row.join(repeats, (row["_text"] == repeats["_uid"]) & row["_id"].isNotNull(), "left")
+    return both.select("_row.*", beyond.alias("_whole"), F.when(~beyond, F.col("_spans")).alias("_spans")).mapInArrow(_cut(names, names.index("text")), schema)

@@ -1,7 +1,9 @@
 """Tables that cut lineage: written to the shared folder, read back.
 
 A cut table is Parquet below ``spark.checkpoint.dir``.  It survives the loss of
-any executor, is computed once, and gives the planner exact sizes.
+any executor, is computed once, and gives the planner exact sizes.  Operators
+drop cut tables once no later step reads them; those that a result still
+reads are deleted when the program ends.
 """
 
 from __future__ import annotations
@@ -36,6 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file:{own}"
 
 
+def _delete(jvm, conf, path: str) -> None:
+    """Delete a folder at the program's end; the virtual machine may be gone by then."""
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # noqa: BLE001  nothing is left to be told
+        pass
+
+
 class Scratch:
     """A folder of cut tables for one run of one operator."""
 
@@ -43,6 +54,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._cuts = 0
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), self.folder)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back."""

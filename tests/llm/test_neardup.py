@@ -4,10 +4,9 @@ import numpy as np
 import pytest
 
 from tessella.llm import nearlinks
-from tessella.llm.bitmap import bitmap_of, in_bitmap
 from tessella.llm.components import connected_components
 from tessella.llm.minhash import MinHasher, Posterior
-from tessella.llm.neardup import near_duplicates
+from tessella.llm.neardup import drop_near_duplicates, near_duplicates
 from tessella.llm.scratch import Scratch
 from tests.llm.brute import components, shingle_set
 
@@ -77,9 +76,41 @@ def test_components_of_long_paths_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).collect() == []
 
 
-def test_bitmaps_hold_their_members(spark):
-    rng = np.random.default_rng(1)
-    values = rng.integers(-(2**63), 2**63 - 1, 500)
-    bits = bitmap_of(spark.createDataFrame([(int(v),) for v in values] + [(0,), (32767,), (32768,), (-1,)], "x long"), "x")
-    assert in_bitmap(bits, values).all() and in_bitmap(bits, np.array([0, 32767, 32768, -1])).all()
-    assert in_bitmap(bits, rng.integers(-(2**63), 2**63 - 1, 20_000)).mean() < 0.01
+def test_sets_of_many_sizes_in_one_bucket(spark, monkeypatch):
+    # sizes over several steps of the threshold, all sharing a long start
+    monkeypatch.setattr(nearlinks, "BLOCK_ROWS", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(base[: rng.randint(60, 400)])) for i in range(120)]
+    check(spark, rows)
+
+
+def test_a_forged_agreement_of_low_bits_keeps_its_link():
+    """An earlier band that agrees in the compared 16 bits only is not the pair's first shared band."""
+    import pyarrow as pa
+
+    hasher, test = MinHasher(128, 32, 4), Posterior(128, 0.85, 1e-6)
+    members = np.random.default_rng(2).integers(0, 2**63, 500).astype(np.uint64)
+    minima = hasher.minima(members)
+    other = minima.copy()
+    other[:4] ^= np.uint32(1 << 20)  # band 0 differs above the low 16 bits
+    rows = [(b"a" * 16, minima), (b"b" * 16, other)]
+    for band in (1, 2):
+        table = pa.table(
+            {"unit": ["u", "u"], "band": pa.array([band, band], pa.int32()), "digest": [d for d, _ in rows], "root": [d for d, _ in rows], "sig": [hasher.packed(m) for _, m in rows],
+             "keys": pa.array([hasher.keys(m) for _, m in rows], pa.list_(pa.int64())), "part": pa.array([0, 0], pa.int32())}
+        )
+        u, v = nearlinks._across(table, hasher, test)
+        # the two meet in the buckets of bands 1 and up, and band 1 has to claim the pair
+        assert (u.tolist(), v.tolist()) == (([0], [1]) if band == 1 else ([], []))
+
+
+def test_one_row_of_each_component_stays(spark):
+    p, q = near_copies(1, 11, 0)[0][1], near_copies(1, 12, 0)[0][1]
+    rows = [(1, p), (5, p), (5, q), (7, q), (8, q), (5, q), (9, None), (9, None), (None, p), (2, " "), (2, " ")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row long")
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(1, p), (5, q), (9, None), (9, None), (2, " "), (2, " ")], key=repr)
+    assert drop_near_duplicates(df.where("false")).collect() == []

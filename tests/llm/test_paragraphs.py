@@ -1,6 +1,10 @@
 import random
 
-from tessella.llm.paragraphs import dedup_passages, merged
+import numpy as np
+
+from tessella.llm.paragraphs import dedup_passages, merged, window_keys
+from tessella.llm.words import Words
+from tests.llm.brute import words
 
 
 def sentence(rng, n):
@@ -59,9 +63,91 @@ def test_defined_cases(spark):
     assert [r.text for r in twice] == [p, p]
 
 
-def test_runs_bridge_short_gaps():
-    assert merged([(0, 20), (24, 44), (100, 110)], 6) == [[0, 44], [100, 110]]
-    assert merged([(0, 20), (27, 47)], 6) == [[0, 20], [27, 47]]
+def test_a_repeated_doc_id_with_different_texts_keeps_what_is_unique(spark):
+    rng = random.Random(8)
+    p, u, v = (passage(rng, 9) for _ in range(3))
+    rows = [(1, p), (2, p), (2, u), (2, u + "\n" + v), (3, u)]
+    out = dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, p), (2, ""), (2, u), (2, u + "\n" + v), (3, "")])
+
+
+def brute(rows, least):
+    """Spans of the words of each text that lie in ``least`` words that an earlier document holds."""
+    held = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - least + 1):
+            key = tuple(w[k : k + least])
+            held[key] = min(held.get(key, i), i)
+    out = {}
+    for i, t in rows:
+        w, gone = words(t), set()
+        for k in range(len(w) - least + 1):
+            if held[tuple(w[k : k + least])] < i:
+                gone.update(range(k, k + least))
+        out[i] = sorted(gone)
+    return out
+
+
+def spans_of(row):
+    return [x for r in row.removed for x in range(r.first_word, r.first_word + r.words)]
+
+
+def test_windows_equal_brute_force(spark):
+    """Passages of 40 to 120 words in any letter case, spliced at any word, over line breaks, some beside each other, some in part."""
+    rng = random.Random(9)
+    pool = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(40, 120))] for _ in range(12)]
+    rows = []
+    for i in range(80):
+        w = [f"h{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(pool)
+            a = rng.randint(0, 20) if rng.random() < 0.3 else 0
+            at = rng.randint(0, len(w))
+            w[at:at] = p[a : len(p) - (rng.randint(0, 20) if rng.random() < 0.3 else 0)]
+        style = rng.choice([str, str.upper, str.title])
+        rows.append((i, "".join(style(x) + rng.choice([" ", " ", " ", " ", "\n"]) for x in w).strip()))
+    # lines stay below 50 words, so that only windows can be repeats
+    lines = [max((len(line.split()) for line in t.split("\n")), default=0) for _, t in rows]
+    rows = [r for r, n in zip(rows, lines) if n < 50]
+    assert len(rows) > 40
+    out, wanted = cut(spark, rows), brute(rows, 50)
+    assert sum(map(len, wanted.values())) > 1000
+    for i, t in rows:
+        assert spans_of(out[i]) == wanted[i]
+        gone = set(wanted[i])
+        assert words(out[i].text) == [x for k, x in enumerate(words(t)) if k not in gone]
+
+
+def test_documents_equal_brute_force(spark, small):
+    """On the table: all words that windows call repeats go, and beyond these only lines of 50 words or more with a similar earlier one."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    out, wanted = cut(spark, rows), brute(rows, 50)
+    for i, t in rows:
+        gone = set(spans_of(out[i]))
+        assert gone >= set(wanted[i])
+        rest, at = gone - set(wanted[i]), 0
+        for line in (t or "").split("\n"):
+            n = len(words(line))
+            here = set(range(at, at + n))
+            if rest & here:
+                assert n >= 50 and here <= gone
+            at += n
+
+
+def test_equal_windows_share_a_key_whatever_surrounds_them():
+    rng = random.Random(10)
+    p = " ".join(f"w{rng.randint(0, 99)}" for _ in range(50))
+    seen = []
+    for _ in range(40):
+        raw = " ".join([*(f"x{rng.randint(0, 99)}" for _ in range(rng.randint(0, 60))), p, *(f"y{rng.randint(0, 99)}" for _ in range(rng.randint(0, 60)))]).encode()
+        seen.append(set(window_keys(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), 50)[1].tolist()))
+    assert set.intersection(*seen)
+
+
+def test_stretches_are_merged():
+    first, size = merged(np.array([100, 0, 20, 47, 5]), np.array([10, 20, 20, 3, 4]))
+    assert list(zip(first.tolist(), size.tolist())) == [(0, 40), (47, 3), (100, 10)]
 
 
 def test_a_passage_that_begins_and_ends_inside_sentences(spark):
