@@ -48,14 +48,14 @@ def op5_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-def _encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return encoded(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
