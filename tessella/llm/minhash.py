@@ -30,16 +30,35 @@ class MinHasher:
             np.minimum(low, (x[i : i + BLOCK, None] * self.a + self.b).min(0), out=low)
         return low
 
+    def minima_of(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The signatures of sets that lie one after the other, none empty: a row a set; ends[0] is 0."""
+        out = np.empty((len(ends) - 1, self.size), np.uint32)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+            x = hashes[ends[i] : ends[j]]
+            if j == i + 1:
+                out[i] = self.minima(x)
+            else:
+                x = (x >> np.uint64(32)).astype(np.uint32)
+                out[i:j] = np.minimum.reduceat(x[:, None] * self.a + self.b, ends[i:j] - ends[i], axis=0)
+            i = j
+        return out
+
     def packed(self, minima: np.ndarray) -> bytes:
         """The low 16 bits of each value: what signatures are compared by."""
         return minima.astype(np.uint16).tobytes()
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """A 64-bit key for each band."""
-        part = minima[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
-        key = self.salt.copy()
+        return self.keys_of(minima[None])[0]
+
+    def keys_of(self, minima: np.ndarray) -> np.ndarray:
+        """The keys of several signatures, a row each."""
+        part = minima[:, : self.bands * self.rows].reshape(len(minima), self.bands, self.rows).astype(np.uint64)
+        key = np.broadcast_to(self.salt, part.shape[:2])
         for i in range(self.rows):
-            key = mix(key + part[:, i])
+            key = mix(key + part[:, :, i])
         return key.view(np.int64)
 
 

@@ -57,22 +57,31 @@ def similar(left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) ->
     return common * den >= num * (small + large - common)
 
 
-def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key, one table at a time; rows come sorted by the key."""
+def whole_units(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that split no unit; rows come sorted by ``key``."""
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(key)
-        values = np.asarray(column.to_numpy(zero_copy_only=False))
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and a == 0 and held[-1].column(key)[-1].as_py() == column[0].as_py():
-                held.append(batch.slice(a, b - a))
-                continue
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [batch.slice(a, b - a)]
+        codes = column.dictionary_encode().indices.to_numpy()
+        opens = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+        if held and held[-1].column(key)[-1].as_py() != column[0].as_py():
+            opens = np.concatenate(([0], opens))
+        start = 0
+        for at in opens.tolist():
+            if count + at - start >= rows or at == opens[-1]:
+                if at > start:
+                    held.append(batch.slice(start, at - start))
+                if held and count + at - start >= rows:
+                    yield pa.Table.from_batches(held)
+                    held, count = [], 0
+                else:
+                    count += at - start
+                start = at
+        held.append(batch.slice(start))
+        count += batch.num_rows - start
     if held:
         yield pa.Table.from_batches(held)
 
@@ -100,37 +109,66 @@ def _verify(threshold: tuple[int, int]) -> Callable:
     return run
 
 
+#: Rows of a unit up to which its pairs are listed together with those of other small units.
+SMALL = 32
+
+
+def _candidates(unit: np.ndarray, split: np.ndarray, root: np.ndarray, part: np.ndarray, sig: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of one unit and two components with ``least`` matches in ``sig``, the first values of the signatures."""
+
+    def meet(u, v):
+        return (root[u] != root[v]) & (~split[u] | (part[u] != part[v]))
+
+    at = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    size = np.diff(np.append(at, len(unit)))
+    small = np.repeat(size <= SMALL, size)
+    for d in range(1, min(SMALL, int(size.max(initial=0)))):
+        u = np.flatnonzero((unit[:-d] == unit[d:]) & small[d:])
+        u = u[meet(u, u + d)]
+        for j in range(0, len(u), PAIRS):
+            w = u[j : j + PAIRS]
+            w = w[(sig[w] == sig[w + d]).sum(1) >= least]
+            yield w, w + d
+    for a, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rows = np.arange(a, a + n)
+        step = max(1, (1 << 18) // n)
+        for i in range(a, a + n, step):
+            some = np.arange(i, min(i + step, a + n))
+            matches = np.zeros((len(some), n), np.uint8)
+            for k in range(sig.shape[1]):
+                matches += sig[some, k][:, None] == sig[rows, k][None, :]
+            u, v = np.nonzero((matches >= least) & (some[:, None] < rows[None, :]))
+            u, v = some[u], rows[v]
+            keep = meet(u, v)
+            yield u[keep], v[keep]
+
+
 def _across(table: pa.Table, hasher: MinHasher, test: Posterior) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of one unit that belong to its band, join two components and pass the posterior."""
+    """Row pairs of units that belong to their unit's band, join two components and pass the posterior."""
     n = table.num_rows
     sig = _matrix(table.column("sig"), hasher.size)
     keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(n, hasher.bands)
-    root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-    part = table.column("part").to_numpy()
-    split = part.min() != part.max()
-    band = int(table.column("band")[0].as_py())
+    unit, root = (table.column(x).combine_chunks().dictionary_encode().indices.to_numpy() for x in ("unit", "root"))
+    part, band = (table.column(x).to_numpy() for x in ("part", "band"))
+    at = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    # a unit of two blocks compares one with the other, a unit of one block all of its rows
+    split = np.repeat(np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at), np.diff(np.append(at, n)))
     first = min(test.least)
-    found_u, found_v = [], []
-    for i in range(n):
-        # a unit of two blocks compares one with the other, a unit of one block all of its rows
-        wanted = part > part[i] if split else np.arange(n) > i
-        v = np.flatnonzero(wanted & (root != root[i]))
-        v = v[(sig[v, :first] == sig[i, :first]).sum(1) >= test.least[first]]
-        for j in range(0, len(v), PAIRS):
-            w = v[j : j + PAIRS]
-            w = w[test.alive(np.broadcast_to(sig[i], (len(w), hasher.size)), sig[w])]
-            if band:
-                w = w[~(keys[w, :band] == keys[i, :band]).any(1)]
-            if len(w):
-                found_u.append(np.full(len(w), i))
-                found_v.append(w)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_u]), np.concatenate([none, *found_v])
+    found_u, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for u, v in _candidates(unit, split, root, part, np.ascontiguousarray(sig[:, :first]), test.least[first]):
+        for j in range(0, len(u), PAIRS):
+            a, b = u[j : j + PAIRS], v[j : j + PAIRS]
+            keep = test.alive(sig[a], sig[b])
+            a, b = a[keep], b[keep]
+            own = (keys[a] == keys[b]).argmax(1) == band[a]
+            found_u.append(a[own])
+            found_v.append(b[own])
+    return np.concatenate(found_u), np.concatenate(found_v)
 
 
 def _survivors(hasher: MinHasher, test: Posterior) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "unit"):
+        for table in whole_units(batches, "unit"):
             u, v = _across(table, hasher, test)
             if len(u):
                 yield from table.take(pa.array(np.union1d(u, v))).to_batches()
@@ -140,9 +178,10 @@ def _survivors(hasher: MinHasher, test: Posterior) -> Callable:
 
 def _forest(hasher: MinHasher, test: Posterior, threshold: tuple[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "unit"):
+        # a unit's sets are at most BLOCK_BYTES a block; rows a table are few, as each has its set
+        for table in whole_units(batches, "unit", 256):
             u, v = _across(table, hasher, test)
-            names = np.array(table.column("root").to_pylist(), dtype=object)
+            names = table.column("root").to_pylist()
             over = {name: name for name in names}
 
             def top(x, over=over):
@@ -182,12 +221,13 @@ def near_components(
     test = Posterior(hasher.size, threshold[0] / threshold[1], miss)
     banded = classes.select("digest", F.posexplode("keys").alias("band", "key"))
     # keys and centres are cut, so that Spark can split a hot bucket on the other side of their joins
-    shared = scratch.cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("digest").alias("v")).where("held > 1").select("key", "v"), "shared")
+    shared = scratch.cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"), "shared")
     members = scratch.cut(banded.join(shared, "key"), "members")
     scratch.drop(shared)
 
     # 2. star links
-    star = members.where("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
+    centres = scratch.cut(members.groupBy("key").agg(F.min("digest").alias("v")), "centres")
+    star = members.join(centres, "key").where("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
     signed = classes.select("digest", "sig")
     star = star.join(signed.toDF("u", "sig_u"), "u").join(signed.toDF("v", "sig_v"), "v").select("u", "v", "sig_u", "sig_v")
     likely = scratch.cut(star.mapInArrow(_prune(hasher, test), "u binary, v binary"), "likely")
@@ -197,14 +237,15 @@ def near_components(
     both = likely.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v").select("u", "v", "set_u", "set_v")
     links = scratch.cut(both.mapInArrow(_verify(threshold), "u binary, v binary"), "links")
     rooted = scratch.cut(connected_components(links, scratch), "rooted")
-    scratch.drop(likely, links, wanted)
+    scratch.drop(centres, likely, links, wanted)
 
     # 3. pairs across components
     step = max(math.log(threshold[1] / threshold[0]), 1e-9)
-    placed = members.drop("v").join(rooted.toDF("digest", "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    placed_ = placed = scratch.cut(members.join(rooted.toDF("digest", "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "placed")
+    several = scratch.cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "several")
     # linked sets are at most one step of size apart; the margin is for rounding
     steps = F.floor(F.log(F.col("n").cast("double")) / (step * 1.000001)).cast("int")
-    placed = placed.join(classes.select("digest", "n"), "digest").select("key", "band", "digest", "root", "n", F.explode(F.array(steps, steps + 1)).alias("level"), steps.alias("own"))
+    placed = placed.join(several, "key").join(classes.select("digest", "n"), "digest").select("key", "band", "digest", "root", "n", F.explode(F.array(steps, steps + 1)).alias("level"), steps.alias("own"))
     # sums per bucket and step, over the sets of the step and of the one below: least and greatest component, rows, bytes of the sets
     mine = F.col("own") == F.col("level")
     size = placed.groupBy("key", "level").agg(
@@ -222,15 +263,15 @@ def near_components(
     units = open_.select("key", "band", "level", "digest", "root", "part", F.expr(f"explode(transform({meets}, j -> struct(least(part, j) as i, greatest(part, j) as j)))").alias("of"))
     units = units.select(F.concat_ws(":", "key", "level", "of.i", "of.j").alias("unit"), "band", "digest", "root", "part")
     # a unit with one component has nothing to compare
-    worth = units.groupBy("unit").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("unit")
-    units = scratch.cut(units.join(worth, "unit", "left_semi"), "units")
+    units = scratch.cut(units, "units")
+    worth = scratch.cut(units.groupBy("unit").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("unit"), "worth")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "unit string, band int, digest binary, root binary, sig binary, keys array<long>, part int"
-    signed = units.join(classes.select("digest", "sig", "keys"), "digest").select("unit", "band", "digest", "root", "sig", "keys", "part")
+    signed = units.join(worth, "unit", "left_semi").join(classes.select("digest", "sig", "keys"), "digest").select("unit", "band", "digest", "root", "sig", "keys", "part")
     survivors = scratch.cut(signed.repartitionByRange(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_survivors(hasher, test), schema), "survivors")
     held = survivors.join(sets, "digest").select("unit", "band", "digest", "root", "sig", "keys", "part", "set")
     more = scratch.cut(held.repartitionByRange(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_forest(hasher, test, threshold), "u binary, v binary"), "more")
-    scratch.drop(members, sets, units, survivors)
+    scratch.drop(members, placed_, several, sets, units, worth, survivors)
 
     if more.isEmpty():
         return rooted.toDF("digest", "root")

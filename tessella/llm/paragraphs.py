@@ -35,7 +35,7 @@ from tessella.llm.minhash import MinHasher
 from tessella.llm.neardup import digest_of, text_digest_of
 from tessella.llm.nearlinks import near_components
 from tessella.llm.scratch import Scratch
-from tessella.llm.words import Words, groups, mix, runs, shingles, slices, utf8
+from tessella.llm.words import Words, distinct, groups, mix, runs, shingle_hashes, shingles, slices, utf8
 
 #: Words in a run of which windows share the least hash: half of a window of 50.
 GRAM = 25
@@ -96,36 +96,51 @@ def _lines(data: np.ndarray, words: Words, least: int) -> tuple[np.ndarray, np.n
     return np.searchsorted(words.first, at, "right") - 1, at, size
 
 
-_LINE = pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_LINE = [("pos", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
 UNITS = "uid binary, doc_id long, seeds array<long>, lines array<struct<pos:int,size:int,n:int,digest:binary,sig:binary,keys:array<long>>>"
 
 
+def _sketches(hashes: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, hasher: MinHasher) -> tuple[list[int], list[bytes], np.ndarray]:
+    """Set sizes, digests and signatures of the lines of ``size`` words from ``at``, each of ``width`` words or more."""
+    if not len(at):
+        return [], [], np.zeros((0, hasher.size), np.uint32)
+    every = shingle_hashes(hashes, width)
+    members = [every[a : a + n] for a, n in zip(at.tolist(), (size - width + 1).tolist())]
+    minima = hasher.minima_of(np.concatenate(members), np.concatenate(([0], np.cumsum(size - width + 1))))
+    sets = [distinct(x.copy()) for x in members]
+    return [len(x) for x in sets], [digest_of(x) for x in sets], minima
+
+
 def _units(width: int, least: int, hasher: MinHasher) -> Callable:
     """For each text of ``least`` words or more the keys of its windows and the sketches of its long lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in slices(batches):
-            rows, seeds, seed_ends, lines, line_ends = [], [np.zeros(0, np.uint64)], [0], [], [0]
+            rows, seeds, seed_ends, line_ends = [none], [none.view(np.uint64)], [0], [0]
+            pos, size, n, digest, minima = [none], [none], [], [], [np.zeros((0, hasher.size), np.uint32)]
             for i, data, words in _chunks(batch.column("text")):
                 long = np.diff(words.first) >= least
                 owner, keys = window_keys(words, least)
-                held = np.bincount(owner, minlength=len(long))
-                text, at, size = _lines(data, words, least)
-                for a, n in zip(at.tolist(), size.tolist()):
-                    members = shingles(words, a, a + n, width)
-                    minima = hasher.minima(members)
-                    lines.append((len(members), digest_of(members), hasher.packed(minima), hasher.keys(minima)))
-                lines[len(lines) - len(at) :] = [(a, n, *x) for a, n, x in zip((at - words.first[text]).tolist(), size.tolist(), lines[len(lines) - len(at) :])]
+                text, at, count = _lines(data, words, least)
+                sketch = _sketches(words.hash, at, count, min(width, least), hasher)
+                n += sketch[0]
+                digest += sketch[1]
+                minima.append(sketch[2])
+                pos.append(at - words.first[text])
+                size.append(count)
                 rows.append(np.flatnonzero(long) + i)
                 seeds.append(keys)
-                seed_ends.extend((seed_ends[-1] + np.cumsum(held[long])).tolist())
+                seed_ends.extend((seed_ends[-1] + np.cumsum(np.bincount(owner, minlength=len(long))[long])).tolist())
                 line_ends.extend((line_ends[-1] + np.cumsum(np.bincount(text, minlength=len(long))[long])).tolist())
-            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * hasher.bands), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[5] for x in lines)])))
-            made = [*(pa.array([x[k] for x in lines], _LINE[k].type) for k in range(5)), keys]
-            told = pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), pa.StructArray.from_arrays(made, fields=list(_LINE)))
-            seeds = pa.ListArray.from_arrays(pa.array(seed_ends, pa.int32()), pa.array(np.concatenate(seeds).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), batch.column("doc_id").take(rows), seeds, told], ["uid", "doc_id", "seeds", "lines"])
+            minima = np.concatenate(minima)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * hasher.bands), pa.array(hasher.keys_of(minima).reshape(-1)))
+            packed = [hasher.packed(x) for x in minima]
+            made = [pa.array(np.concatenate(pos), pa.int32()), pa.array(np.concatenate(size), pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(packed, pa.binary()), keys]
+            lines = pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), pa.StructArray.from_arrays(made, fields=[pa.field(*x) for x in _LINE]))
+            held = pa.ListArray.from_arrays(pa.array(seed_ends, pa.int32()), pa.array(np.concatenate(seeds).view(np.int64)))
+            rows = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), batch.column("doc_id").take(rows), held, lines], ["uid", "doc_id", "seeds", "lines"])
 
     return run
 
@@ -185,6 +200,9 @@ def _line_sets(width: int) -> Callable:
     return run
 
 
+SPANS = "lo long, cls long, spans array<struct<first_word:int,words:int>>"
+
+
 def merged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of stretches (first word, number of words) as disjoint ones in order; stretches that touch are one."""
     order = np.argsort(first, kind="stable")
@@ -240,8 +258,9 @@ def repeated_passages(
     docs: DataFrame,
     width: int = 5,
     threshold: tuple[int, int] = (80, 100),
-    bands: int = 20,
-    rows: int = 4,
+    bands: int = 12,
+    rows: int = 3,
+    signature: int = 48,
     min_words: int = 50,
     miss: float = 1e-6,
     scratch: Scratch | None = None,
@@ -255,48 +274,51 @@ def repeated_passages(
     repeat.  Texts below ``min_words`` words are left out.
 
     ``bands`` bands of ``rows`` values find a pair of lines with a similarity
-    of 0.8 with probability 0.99997, of 0.9 with 1 - 1e-9.
+    of 0.8 with probability 0.9998, of 0.85 with 0.99999, of 0.9 with 1 - 2e-7.
     """
     scratch = scratch or Scratch(docs.sparkSession, "paragraphs")
-    hasher = MinHasher(bands * rows, bands, rows)
-    units = docs.mapInArrow(_units(width, min_words, hasher), UNITS)
-    # copies fold into one class before anything else is done
-    folded = units.groupBy("uid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("seeds").alias("seeds"), F.first("lines").alias("lines"))
+    hasher = MinHasher(signature, bands, rows)
     # with lo, half of the digest names a class: texts of one doc_id only have to differ in it
     half = F.conv(F.hex(F.substring("uid", 1, 8)), 16, -10).cast("long")
+    units = scratch.cut(docs.mapInArrow(_units(width, min_words, hasher), UNITS), "units")
+    # copies fold into one class before anything else is done with their windows
+    folded = units.groupBy("uid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("seeds").alias("seeds"))
     classes = scratch.cut(folded.withColumn("cls", half), "classes")
-    texts = docs.select("uid", F.col("doc_id").alias("lo"), "text")
+    texts = docs.select(F.col("doc_id").alias("lo"), half.alias("cls"), "text")
 
     # windows: the keys that two documents hold, then the windows that hold such a key
-    seeds = classes.select("uid", "lo", F.explode("seeds").alias("seed"))
+    seeds = classes.select("lo", "cls", F.explode("seeds").alias("seed"))
     several = F.min("lo") < F.max("lo")
     shared = scratch.cut(seeds.groupBy("seed").agg(several.alias("several")).where("several").select("seed"), "shared")
-    marked = scratch.cut(seeds.join(shared, "seed").groupBy("uid", "lo").agg(F.collect_set("seed").alias("seeds")), "marked")
-    read = texts.join(marked.join(classes.select("uid", "cls"), "uid"), ["uid", "lo"]).select("lo", "cls", "seeds", "text")
+    marked = scratch.cut(seeds.join(shared, "seed").groupBy("lo", "cls").agg(F.collect_set("seed").alias("seeds")), "marked")
+    read = texts.join(marked, ["lo", "cls"]).select("lo", "cls", "seeds", "text")
     windows = scratch.cut(read.mapInArrow(_windows(min_words), "k1 long, k2 long, lo long, cls long, pos int"), "windows")
     scratch.drop(shared, marked)
     held = scratch.cut(windows.groupBy("k1", "k2").agg(F.min("lo").alias("keeper"), F.max("lo").alias("last")).where("keeper < last").select("k1", "k2", "keeper"), "held")
-    again = windows.join(held, ["k1", "k2"]).where("lo > keeper").select("lo", "cls", F.struct(F.col("pos").alias("first_word"), F.lit(min_words).alias("words")).alias("span"))
+    span = F.struct(F.col("pos").alias("first_word"), F.lit(min_words).alias("words")).alias("span")
+    again = windows.join(held, ["k1", "k2"]).where("lo > keeper").groupBy("lo", "cls").agg(F.collect_list(span).alias("spans"))
+    again = scratch.cut(again.mapInArrow(_merged, SPANS), "again")
+    scratch.drop(windows, held)
 
     # lines: components of edited copies
-    lines = classes.select("uid", "lo", "cls", F.inline("lines"))
-    classes_of_lines = scratch.cut(lines.groupBy("digest").agg(F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min(F.struct("uid", "lo", "pos", "size")).alias("at")), "lines")
+    lines = units.select(F.col("doc_id").alias("lo"), half.alias("cls"), F.inline("lines"))
+    of_lines = lines.groupBy("digest").agg(F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min(F.struct("lo", "cls", "pos", "size")).alias("at"))
+    of_lines = scratch.cut(of_lines, "lines")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        places = classes_of_lines.join(wanted, "digest", "left_semi").groupBy("at.uid", "at.lo").agg(F.collect_list(F.struct("at.pos", "at.size")).alias("places"))
-        return texts.join(places, ["uid", "lo"]).select("text", "places").mapInArrow(_line_sets(width), "digest binary, set binary")
+        places = of_lines.join(wanted, "digest", "left_semi").groupBy("at.lo", "at.cls").agg(F.collect_list(F.struct("at.pos", "at.size")).alias("places"))
+        return texts.join(places, ["lo", "cls"]).select("text", "places").mapInArrow(_line_sets(width), "digest binary, set binary")
 
-    rooted = near_components(classes_of_lines.drop("at"), sets_of, hasher, threshold, miss, scratch)
+    rooted = near_components(of_lines.drop("at"), sets_of, hasher, threshold, miss, scratch)
     placed = lines.select("lo", "cls", "pos", "size", "digest").join(rooted, "digest").select("lo", "cls", "pos", "size", "root")
     kept = scratch.cut(placed.groupBy("root").agg(F.min("lo").alias("keeper"), F.max("lo").alias("last")).where("keeper < last").select("root", "keeper"), "kept")
-    edited = placed.join(kept, "root").where("lo > keeper").select("lo", "cls", F.struct(F.col("pos").alias("first_word"), F.col("size").alias("words")).alias("span"))
+    edited = placed.join(kept, "root").where("lo > keeper").select("lo", "cls", F.array(F.struct(F.col("pos").alias("first_word"), F.col("size").alias("words"))).alias("spans"))
 
     # a text's repeats are at most its words
-    spans = again.unionByName(edited).groupBy("lo", "cls").agg(F.collect_list("span").alias("spans"))
-    spans = spans.mapInArrow(_merged, "lo long, cls long, spans array<struct<first_word:int,words:int>>")
+    spans = again.unionByName(edited).groupBy("lo", "cls").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_merged, SPANS)
     told = classes.select("uid", "lo", "hi", "cls").join(spans, ["lo", "cls"], "left").where("hi > lo or spans is not null").select("uid", "lo", "hi", "spans")
     told = scratch.cut(told, "repeats")
-    scratch.drop(classes, windows, held, classes_of_lines, kept)
+    scratch.drop(units, classes, again, of_lines, kept)
     return told
 
 

@@ -143,6 +143,21 @@ def runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(h + size.astype(np.uint64) * LENGTH)
 
 
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, by its first word; there are at least that many."""
+    last = len(h) - width + 1
+    s = h[:last].copy()
+    for i in range(1, width):
+        s = mix(s) + h[i : last + i]
+    return mix(s + np.uint64(width * int(LENGTH) % (1 << 64)))
+
+
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted, each value once; s is not kept."""
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
+
+
 def shingles(words: Words, first: int, last: int, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of words[first:last].
 
@@ -150,15 +165,4 @@ def shingles(words: Words, first: int, last: int, width: int) -> np.ndarray:
     none there is none.
     """
     n = int(last - first)
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = words.hash[first:last]
-    k = int(min(n, width))
-    s = h[: n - k + 1].copy()
-    for i in range(1, k):
-        s = mix(s) + h[i : n - k + 1 + i]
-    s = mix(s + np.uint64(k * int(LENGTH) % (1 << 64)))
-    s.sort()
-    if len(s) > 1:
-        s = s[np.concatenate(([True], s[1:] != s[:-1]))]
-    return s
+    return distinct(shingle_hashes(words.hash[first:last], min(n, width))) if n > 0 else np.zeros(0, np.uint64)

@@ -114,3 +114,20 @@ def test_one_row_of_each_component_stays(spark):
     got = [(r.doc_id, r.text) for r in out.collect()]
     assert sorted(got, key=repr) == sorted([(1, p), (5, q), (9, None), (9, None), (2, " "), (2, " ")], key=repr)
     assert drop_near_duplicates(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 100])
+def test_whole_units_are_never_split(rows):
+    import pyarrow as pa
+
+    rng = random.Random(rows)
+    names = [f"u{i:03d}" for i in range(40) for _ in range(rng.choice([1, 1, 2, 9]))]
+    batches, at = [], 0
+    while at < len(names):
+        n = rng.choice([0, 1, 2, 5, 30])
+        batches.append(pa.RecordBatch.from_arrays([pa.array(names[at : at + n], pa.string())], ["unit"]))
+        at += n
+    tables = [t.column("unit").to_pylist() for t in nearlinks.whole_units(iter(batches), "unit", rows)]
+    assert sum(tables, []) == names
+    assert all(not set(a) & set(b) for i, a in enumerate(tables) for b in tables[i + 1 :])
+    assert all(len(set(t)) <= rows + 1 for t in tables)
