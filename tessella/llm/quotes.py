@@ -1,13 +1,17 @@
 """Quotation linking: who answers whom in conversations that quote.
 
 A line that opens with ``>`` marks is quoted; the number of marks is its level.
-Neighbouring lines of one level form a passage.  Passages and lines are
-normalised (case, white space) and hashed, and quoted ones are joined to the
-latest earlier message of the conversation that has the passage, or else most
-of its lines, as its own text.  A message answers the message that its
-shallowest linked passage comes from, or the turn before if it quotes nothing
-that is known.  The result has the messages without quotes, in reply order.
-Only DataFrame functions are used.
+Neighbouring lines of one level form a passage.  Passages are normalised (case,
+white space) and hashed, and joined to the latest earlier message of the
+conversation that has the passage as its own text: all of it however its lines
+are broken, or as neighbouring lines (blank ones left out).  For these a message
+hashes its runs of as many lines as some passage of the conversation has.  A
+passage that nobody has like this was edited: its lines are looked for one by
+one, each in the latest earlier message that has it, and the message found for
+most lines is taken if it is found for more than half of them.  A message
+answers the message that its shallowest linked passage comes from, or the turn
+before if it quotes nothing that is known.  The result has the messages without
+quotes, in reply order.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -75,11 +79,12 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     scratch = Scratch(spark, "quotes")
     base = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    base = scratch.cut(base.withColumn("uid", F.xxhash64("conv_id", "turn", "role", "text")), "messages")
+    # numbers of rows, fixed by being written
+    base = scratch.cut(base.withColumn("uid", F.monotonically_increasing_id()), "messages")
     placed = base.where("conv_id is not null and turn is not null")
 
     # only messages with a quoted line take part as quoting ones
-    quoting = base.where(F.col("text").contains(">") & F.col("text").rlike("(?m)" + MARKS)).dropDuplicates(["uid"])
+    quoting = base.where(F.col("text").contains(">") & F.col("text").rlike("(?m)" + MARKS))
     lines = scratch.cut(_split(quoting), "lines")
     order = Window.partitionBy("uid").orderBy("line_no")
     marked = lines.withColumn("opens", (F.lag("level").over(order).isNull() | (F.lag("level").over(order) != F.col("level"))).cast("int"))
@@ -97,16 +102,24 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     asked_convs = passages.select("conv_id").distinct()
     texts = texts.join(asked_convs, "conv_id", "left_semi")
     whole = texts.select("conv_id", "turn", F.xxhash64(_normal(F.col("body"))).alias("hash"))
-    each = texts.select("conv_id", "turn", F.explode(F.split("body", "\r\n|\r|\n")).alias("line")).where("trim(line) <> ''").select("conv_id", "turn", F.xxhash64(_normal(F.col("line"))).alias("hash"))
+    in_lines = texts.select("conv_id", "turn", F.transform(F.filter(F.split("body", "\r\n|\r|\n"), lambda x: F.trim(x) != ""), _normal).alias("lines"))
+    each = in_lines.select("conv_id", "turn", F.explode("lines").alias("line")).select("conv_id", "turn", F.xxhash64("line").alias("hash"))
+    by_run = passages.select("conv_id", "turn", "uid", "run", "level", F.transform("bodies", _normal).alias("lines"))
+    # the numbers of lines that passages of a conversation have: few, as n different ones take n * n / 2 quoted lines
+    lengths = by_run.groupBy("conv_id").agg(F.collect_set(F.size("lines")).alias("lengths"))
+    runs = F.expr("flatten(transform(lengths, m -> if(size(lines) < m, array(), transform(sequence(1, greatest(1, size(lines) - m + 1)), i -> xxhash64(m, array_join(slice(lines, i, m), '\n'))))))")
+    runs = in_lines.join(lengths, "conv_id").select("conv_id", "turn", F.explode(runs).alias("hash"))
     keys = ["conv_id", "hash"]
     by_whole = passages.select("conv_id", "turn", "uid", "run", "level", F.col("whole").alias("hash"))
-    by_line = passages.select("conv_id", "turn", "uid", "run", "level", F.explode("bodies").alias("line")).select("conv_id", "turn", "uid", "run", "level", F.xxhash64(_normal(F.col("line"))).alias("hash"))
+    by_line = by_run.select("conv_id", "turn", "uid", "run", "level", F.size("lines").alias("of"), F.explode("lines").alias("line")).select("conv_id", "turn", "uid", "run", "level", "of", F.xxhash64("line").alias("hash"))
+    by_run = by_run.select("conv_id", "turn", "uid", "run", "level", F.expr("xxhash64(size(lines), array_join(lines, '\n'))").alias("hash"))
 
     def held(rows: DataFrame, asked: DataFrame) -> DataFrame:
         return rows.join(asked.select(*keys).distinct(), keys, "left_semi")
 
-    exact = latest_before(by_whole, held(whole.unionByName(each), by_whole), keys).where("source is not null").groupBy("uid", "run", "level").agg(F.max("source").alias("exact"))
-    votes = latest_before(by_line, held(each, by_line), keys).where("source is not null").groupBy("uid", "run", "level", "source").agg(F.count(F.lit(1)).alias("n"))
+    exact = latest_before(by_whole, held(whole, by_whole), keys).unionByName(latest_before(by_run, held(runs, by_run), keys))
+    exact = exact.where("source is not null").groupBy("uid", "run", "level").agg(F.max("source").alias("exact"))
+    votes = latest_before(by_line, held(each, by_line), keys).where("source is not null").groupBy("uid", "run", "level", "of", "source").agg(F.count(F.lit(1)).alias("n")).where("2 * n > of")
     partial = votes.groupBy("uid", "run", "level").agg(F.max(F.struct("n", "source")).alias("best")).select("uid", "run", "level", F.col("best.source").alias("partial"))
     linked = exact.join(partial, ["uid", "run", "level"], "full").select("uid", "run", "level", F.coalesce("exact", "partial").alias("source"))
     answers = linked.groupBy("uid").agg(F.min(F.struct("level", "run", "source")).alias("first"), F.count(F.lit(1)).alias("linked_passages"))

@@ -17,14 +17,17 @@ run_ AS (SELECT *, sum(opens) OVER (PARTITION BY uid ORDER BY line_no) AS run FR
 bare AS (SELECT uid, string_agg(body, chr(10) ORDER BY line_no) AS bare FROM run_ WHERE level = 0 AND NOT (regexp_matches(body, '{ATTRIBUTION}') AND coalesce(next_level, 0) > 0) GROUP BY uid),
 quoted AS (SELECT * FROM run_ WHERE level > 0 AND trim(body) <> ''),
 counted AS (SELECT uid, count(DISTINCT run) AS quoted_passages, max(level) AS quote_depth FROM quoted GROUP BY uid),
-passage AS (SELECT uid, conv_id, turn, run, level, {_NORMAL.format("string_agg(body, chr(10) ORDER BY line_no)")} AS norm FROM quoted WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+passage AS (SELECT uid, conv_id, turn, run, level, {_NORMAL.format("string_agg(body, chr(10) ORDER BY line_no)")} AS norm, list({_NORMAL.format("body")} ORDER BY line_no) AS lines FROM quoted WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 own AS (SELECT b.conv_id, b.turn, coalesce(bare, text, '') AS body FROM base b LEFT JOIN bare USING (uid) WHERE b.turn IS NOT NULL AND b.conv_id IN (SELECT conv_id FROM passage)),
-own_line AS (SELECT conv_id, turn, {_NORMAL.format('x')} AS norm FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(body, {_BREAKS})) AS x FROM own) WHERE trim(x) <> ''),
-held AS (SELECT conv_id, turn, {_NORMAL.format('body')} AS norm FROM own UNION SELECT * FROM own_line),
-exact AS (SELECT p.uid, p.run, p.level, max(h.turn) AS source FROM passage p JOIN held h ON h.conv_id = p.conv_id AND h.norm = p.norm AND h.turn < p.turn GROUP BY ALL),
-asked AS (SELECT uid, conv_id, turn, run, level, line_no, {_NORMAL.format('body')} AS norm FROM quoted),
-latest AS (SELECT a.uid, a.run, a.level, a.line_no, max(o.turn) AS source FROM asked a JOIN own_line o ON o.conv_id = a.conv_id AND o.norm = a.norm AND o.turn < a.turn GROUP BY ALL),
-votes AS (SELECT uid, run, level, source, count(*) AS n FROM latest GROUP BY ALL),
+own_lines AS (SELECT conv_id, turn, list_transform(list_filter(regexp_split_to_array(body, {_BREAKS}), lambda x: trim(x) <> ''), lambda x: {_NORMAL.format('x')}) AS lines FROM own),
+own_line AS (SELECT conv_id, turn, lines, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS norm FROM own_lines),
+found AS (
+  SELECT p.uid, p.run, p.level, o.turn AS source FROM passage p JOIN own o ON o.conv_id = p.conv_id AND o.turn < p.turn AND {_NORMAL.format('o.body')} = p.norm
+  UNION ALL SELECT p.uid, p.run, p.level, o.turn FROM passage p JOIN own_line o ON o.conv_id = p.conv_id AND o.turn < p.turn AND o.norm = p.lines[1] AND o.lines[o.i : o.i + len(p.lines) - 1] = p.lines),
+exact AS (SELECT uid, run, level, max(source) AS source FROM found GROUP BY ALL),
+asked AS (SELECT uid, conv_id, turn, run, level, len(lines) AS of_, unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS norm FROM passage),
+latest AS (SELECT a.uid, a.run, a.level, a.of_, a.line_no, max(o.turn) AS source FROM asked a JOIN own_line o ON o.conv_id = a.conv_id AND o.norm = a.norm AND o.turn < a.turn GROUP BY ALL),
+votes AS (SELECT uid, run, level, source, count(*) AS n FROM latest GROUP BY uid, run, level, of_, source HAVING 2 * count(*) > of_),
 partial AS (SELECT uid, run, level, arg_max(source, (n, source)) AS source FROM votes GROUP BY ALL),
 linked AS (SELECT coalesce(e.uid, p.uid) AS uid, coalesce(e.run, p.run) AS run, coalesce(e.level, p.level) AS level, coalesce(e.source, p.source) AS source FROM exact e FULL JOIN partial p ON p.uid = e.uid AND p.run = e.run),
 answer AS (SELECT uid, arg_min(source, (level, run)) AS quoted_turn, count(*) AS linked_passages FROM linked GROUP BY uid),
