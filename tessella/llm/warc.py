@@ -122,8 +122,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, chunk: i
     plan = plan_records(pages, least_bytes).withColumn("key", key).select("key", "sha1", "bytes", "refers_to").dropDuplicates(["key", "sha1"])
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload().alias("body"))
     last = F.greatest(F.lit(0), F.floor((F.octet_length("body") - 1) / chunk)).cast("int")
-    # copy tells repeated rows apart
-    rows = rows.withColumns({"key": key, "sha1": F.sha1("body"), "copy": F.monotonically_increasing_id(), "chunk_no": F.explode(F.sequence(F.lit(0), last))})
+    # copy tells repeated rows apart; digested before the cut into chunks, so once a payload
+    rows = rows.withColumns({"key": key, "sha1": F.sha1("body"), "copy": F.monotonically_increasing_id()})
+    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     cut = rows.select("key", "sha1", "page_id", "copy", "chunk_no", F.when(F.col("chunk_no") == 0, F.col("url")).alias("url"), F.expr(f"substring(body, chunk_no * {chunk} + 1, {chunk})").alias("chunk"))
     placed = cut.repartition(n, "key", "sha1").join(plan, ["key", "sha1"]).sortWithinPartitions("key", "sha1", "copy", "chunk_no")
     return placed.select("page_id", "url", "sha1", "bytes", "refers_to", "chunk_no", "chunk").mapInArrow(_writer(folder), "archive string, records long")
