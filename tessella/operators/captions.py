@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.fixed import ARTIFACT_TERMS, ATTENTION_TERMS, COLOURS, CONTEXT_TERMS, GATE_POLICIES, PHASE_CUES, PHASE_TERMS, QUALITY_TERMS
 from tessella.functions.text import blank, faults, hits, holds_any, joined_tokens, protected_items, repaired_ending, repetitive, squash, tokens, truncation_reason, up_to_ngrams, word_count
-from tessella.operators.metrics import overlap
+from tessella.operators.metrics import grams_of, overlap
 from tessella.operators.selection import best_over_fallback
 
 DECADE, SPEED = r"\b([1-9]0s)\b", r"\b([0-9]+)\s*km/h\b"
@@ -238,7 +238,7 @@ def phrase_bank(docs: DataFrame, max_n: int = 4, size: int = 6000) -> DataFrame:
     Grams are counted by text first, then by bank, and the heaviest of each
     share of a bank's grams are found before those of the bank.
     """
-    grams = docs.select("bank", "doc", F.explode(up_to_ngrams(tokens(F.col("text")), max_n)).alias("gram")).groupBy("bank", "doc", "gram").agg(F.count(F.lit(1)).alias("c"))
+    grams = grams_of(docs.select("bank", "doc", tokens(F.col("text")).alias("w")), "w", max_n).groupBy("bank", "doc", "gram").agg(F.count(F.lit(1)).alias("c"))
     counts = grams.groupBy("bank", "gram").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("df"))
     n = docs.groupBy("bank").agg(F.countDistinct("doc").alias("docs"))
     idf = F.greatest(F.log((F.col("docs") + 1.0) / (F.col("df") + 0.5)), F.lit(0.05))
@@ -255,7 +255,7 @@ def bank_overlap(texts: DataFrame, bank: DataFrame, max_n: int = 4) -> DataFrame
 
     texts: ``id, bank, text``.
     """
-    grams = texts.select("id", "bank", F.explode(up_to_ngrams(tokens(F.col("text")), max_n)).alias("gram")).groupBy("id", "bank", "gram").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("c"))
+    grams = grams_of(texts.select("id", "bank", tokens(F.col("text")).alias("w")), "w", max_n).groupBy("id", "bank", "gram").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("c"))
     sums = grams.join(bank, ["bank", "gram"], "left").groupBy("id").agg(F.sum(F.col("c") * F.coalesce("weight", F.lit(0.0))).alias("hit"), F.sum("c").alias("all"))
     return texts.select("id").distinct().join(sums.select("id", (F.col("hit") / F.greatest("all", F.lit(1))).alias("overlap")), "id", "left").na.fill(0.0, ["overlap"])
 

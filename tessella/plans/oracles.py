@@ -155,12 +155,12 @@ def mend(column: str) -> str:
 PROMPT = f"""{Q(VQA_SYSTEM)} || chr(10) || chr(10) || 'Scenario type: main' || chr(10) || 'Scope: ' || scope || chr(10) || coalesce('Phase label: ' || phase, 'Scenario-level environment question') || chr(10) || chr(10)
  || array_to_string(list_transform(range(ord % 3), lambda i: '<video>'), chr(10)) || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Options:' || chr(10)
  || 'a. ' || options[1] || chr(10) || 'b. ' || options[2] || chr(10) || 'c. ' || options[3] || chr(10) || 'd. ' || options[4] || chr(10) || chr(10) || 'Return only the correct option letter.'"""
-BANK = """docs AS (SELECT doc_id AS doc, lang AS bank, regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:60], ' ')), '[a-z0-9]+') AS w FROM documents WHERE doc_id < 1000),
+BANK = """docs AS (SELECT doc_id AS doc, lang AS bank, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 gr AS (SELECT bank, doc, gram, count(*) AS c FROM (
-  SELECT bank, doc, unnest(w) AS gram FROM docs UNION ALL SELECT bank, doc, unnest(list_transform(range(1, greatest(0, len(w) - 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))) FROM docs) GROUP BY ALL),
+  SELECT bank, doc, unnest(list_transform(range(1, greatest(0, len(w) - k + 1) + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram FROM docs, (SELECT unnest(range(1, 5)) AS k)) GROUP BY ALL),
 cn AS (SELECT bank, gram, sum(c) AS n, count(*) AS df FROM gr GROUP BY ALL),
 bk AS (SELECT bank, gram, round(n * greatest(ln((docs_ + 1.0) / (df + 0.5)), 0.05), 6) AS weight FROM cn JOIN (SELECT bank, count(DISTINCT doc) AS docs_ FROM docs GROUP BY bank) USING (bank)),
-top AS (SELECT * FROM bk QUALIFY row_number() OVER (PARTITION BY bank ORDER BY weight DESC, gram) <= 50)"""
+top AS (SELECT * FROM bk QUALIFY row_number() OVER (PARTITION BY bank ORDER BY weight DESC, gram) <= 6000)"""
 MODE = ROUTER_MODES["balanced"] | {"min_acc": 0.2, "margin": -0.05}
 SOURCE_LIST = "[" + ", ".join(map(Q, SOURCES)) + "]"
 
@@ -274,7 +274,7 @@ SELECT scenario_id, phase, role, len(reasons) = 0 AS accepted, array_to_string(r
 SELECT o.scenario_id, o.phase, penalty, penalty <= -2 AS replaced, CASE WHEN penalty <= -2 THEN b.caption_pedestrian ELSE o.caption_pedestrian END AS caption_pedestrian
 FROM cap o JOIN pn USING (source, scenario_id, phase) JOIN cap b ON b.source = 'base' AND b.scenario_id = o.scenario_id AND b.row_idx = o.row_idx WHERE o.source = 'fused'""",
     "completeness_repair": f"WITH {CAPTIONS_SQL} SELECT o.scenario_id, o.phase, {mend('caption_pedestrian')}, {mend('caption_vehicle')} FROM cap o JOIN cap b ON b.source = 'base' AND o.source = 'fused' AND b.scenario_id = o.scenario_id AND b.row_idx = o.row_idx",
-    "phrase_bank": f"WITH {BANK} SELECT bank, gram, round(weight, 4) AS weight FROM top",
+    "phrase_bank": f"WITH {BANK} SELECT bank, gram, weight FROM top",
     "phrase_overlap": f"WITH {BANK} SELECT docs.doc AS id, round(coalesce(sum(least(c, 3) * coalesce(weight, 0)) / greatest(sum(least(c, 3)), 1), 0), 4) AS overlap FROM docs LEFT JOIN gr ON gr.doc = docs.doc LEFT JOIN top ON top.bank = gr.bank AND top.gram = gr.gram GROUP BY docs.doc",
     "question_export": f"""WITH {TYPED} SELECT id, correct || '. ' || options[instr('abcd', correct)] AS output, CASE WHEN scope = 'vehicle_view' THEN 0 ELSE 1 END::BIGINT AS videos, question_type FROM ty""",
     "bleu": f"""WITH {overlap(4)}, t AS (SELECT n, sum(shared) AS s, sum(lt) AS t, sum(rt) AS r FROM ov GROUP BY n), g AS (SELECT sum(ln((s + 1) / (t + 1))) / 4 AS l, max(t) FILTER (n = 1) AS c, max(r) FILTER (n = 1) AS r FROM t)
@@ -295,7 +295,7 @@ s0 AS (SELECT *, greatest(x2 - x1, y2 - y1, 2) * 1.7::DOUBLE AS raw FROM u), s1
 l0 AS (SELECT *, (x1 + x2) / 2.0 - s / 2.0 AS lx, (y1 + y2) / 2.0 - s / 2.0 AS ty FROM s1), l1 AS (SELECT *, greatest(0, least(1920 - s, {half_even('lx')}::BIGINT)) AS l, greatest(0, least(1080 - s, {half_even('ty')}::BIGINT)) AS t FROM l0),
 e AS (SELECT role, track, phase, frames, s - s % 2 AS side, l - l % 2 AS l, t - t % 2 AS t FROM l1)
 SELECT role, track, phase, frames, side, CASE WHEN l + side > 1920 THEN greatest(0, 1920 - side) - greatest(0, 1920 - side) % 2 ELSE l END AS "left", CASE WHEN t + side > 1080 THEN greatest(0, 1080 - side) - greatest(0, 1080 - side) % 2 ELSE t END AS top FROM e""",
-    "nearest_frame": f"""WITH {TRACKS_SQL}, w AS (SELECT DISTINCT role, track, ord * 3 % 4001 AS frame FROM t WHERE ord % 10 = 0)
+    "nearest_frame": f"""WITH {TRACKS_SQL}, w AS (SELECT DISTINCT role, track, ord * 3 % 4001 AS frame FROM t)
 SELECT role, track, frame, image_id FROM (SELECT w.role, w.track, frame, image_id, row_number() OVER (PARTITION BY w.role, w.track, frame ORDER BY abs(image_id - frame), ord) AS r FROM w JOIN t ON t.role = w.role AND t.track = w.track) WHERE r = 1""",
     "clip_manifest": f"""WITH {TRACKS_SQL}, p AS (SELECT track, phase, min(image_id) / 10.0::DOUBLE AS a, max(image_id) / 10.0::DOUBLE AS b FROM t GROUP BY ALL)
 SELECT 's' || track AS scenario_id, 's' || track || '_cam1' AS camera_id, phase, a AS start_time, greatest(b - a, 0.001) AS duration, '/clips/train/main/s' || track || '/overhead_view/s' || track || '_cam1_phase_' || phase || '.mp4' AS clip_path FROM p""",

@@ -358,7 +358,7 @@ def _bank_docs(spark, sf_dir):
 
 @query
 def phrase_bank(spark, sf_dir):
-    return cap.phrase_bank(_bank_docs(spark, sf_dir)).select("bank", "gram", F.round("weight", 4).alias("weight"))
+    return cap.phrase_bank(_bank_docs(spark, sf_dir))
 
 
 @query

@@ -168,11 +168,9 @@ TRACKS_SQL = """t AS (
   SELECT CASE WHEN event_type IN ('click', 'view') THEN 'pedestrian' ELSE 'vehicle' END AS role, user_id AS track, (event_id % 5)::VARCHAR AS phase, event_id * 7 % 4001 AS image_id, event_id AS ord,
          (event_id * 13 % 1900)::DOUBLE AS x, (event_id * 29 % 2000) / 2.0::DOUBLE AS y, (event_id % 300)::DOUBLE AS w, (event_id % 251 + 0.5)::DOUBLE AS h
   FROM events)"""
-PAIRS_SQL = """d AS (SELECT doc_id, string_split(text, ' ')[1:60] AS w FROM documents WHERE doc_id < 1000),
-pr AS (
-  SELECT d.doc_id AS pair, CASE WHEN d.doc_id % 3 = 0 THEN array_to_string(d.w, ' ') ELSE array_to_string(d.w[1:40], ' ') || ' ' || array_to_string(n.w[1:20], ' ') END AS candidate,
-         array_to_string(d.w, ' ') AS reference
-  FROM d JOIN d n ON n.doc_id = d.doc_id + 1)"""
+PAIRS_SQL = """pr AS (
+  SELECT d.doc_id AS pair, CASE WHEN d.doc_id % 3 = 0 THEN d.text ELSE concat_ws(' ', d.text, n.text) END AS candidate, d.text AS reference
+  FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1)"""
 CAPTIONS_SQL = """cap0 AS (
   SELECT source, 's' || c_custkey AS scenario_id, row_idx, row_idx::VARCHAR AS phase, c_custkey * 5 + row_idx + CASE source WHEN 'base' THEN 0 WHEN 'fused' THEN 3 ELSE 7 END AS n
   FROM customer, (SELECT unnest(range(5))::INT AS row_idx), (SELECT unnest(['base', 'fused', 'slots']) AS source)),

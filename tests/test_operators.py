@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
@@ -140,6 +141,21 @@ def test_fallback_margin(spark):
     assert got(selection.best_over_fallback(rows, ["k"], "score", "source", "base", 2.0), "k", "source") == [("k", "base"), ("l", "x")]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_gapless_and_in_order(spark, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        rows = spark.range(0, 200_000, 1, 9).select((F.col("id") * 7919 % 200_003).alias("n"), F.md5(F.col("id").cast("string").cast("binary")).alias("payload"))
+        out = selection.numbered(rows, ["n"])
+        told = out.withColumn("wanted", F.row_number().over(Window.orderBy("n"))).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("place").alias("places"), F.count_if(F.col("place") != F.col("wanted")).alias("wrong"), F.countDistinct("payload").alias("payloads")).first()
+        assert tuple(told) == (200_000, 200_000, 0, 200_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_positional_join_checks_lengths(spark):
     left, right = table(spark, [(0, "a"), (1, "b")], "ord long, x string"), table(spark, [(0, "p")], "ord long, y string")
     with pytest.raises(ValueError, match="2 rows meet 1"):
