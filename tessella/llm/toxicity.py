@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.words import Words, groups, utf8
+from tessella.llm.scratch import Scratch
+from tessella.llm.words import Words, groups, slices, utf8
 
 #: Hash buckets for words.
 BUCKETS = 1 << 18
@@ -138,28 +139,40 @@ class Chain:
         return out
 
 
-def _choose(texts: Texts, y: np.ndarray, most: int, least_chi: float) -> np.ndarray:
-    """The word buckets whose presence depends on the label: largest chi-square first."""
-    n, positive = max(1, len(y)), y.sum()
-    total = np.bincount(texts.bucket, minlength=BUCKETS).astype(float)
-    inside = np.bincount(texts.bucket[y[texts.owners()] == 1], minlength=BUCKETS)
-    expected = total * positive / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (inside - expected) ** 2 / (expected * (1 - positive / n) * (1 - total / n))
-    chi[~np.isfinite(chi) | (total < 3)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] >= least_chi])
+@dataclass
+class Counts:
+    """Of the labelled texts, by fold: how many there are, how many hold each bucket; the same of each category's positive ones."""
+
+    texts: np.ndarray
+    holding: np.ndarray
+    positive: np.ndarray
+    inside: np.ndarray
+
+    def choose(self, category: int, without: int | None, most: int, least_chi: float) -> np.ndarray:
+        """The word buckets whose presence depends on the label, in all folds or all but one: largest chi-square first."""
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            return x.sum(0) - (0 if without is None else x[without])
 
+        n, positive = max(1, sums(self.texts)), sums(self.positive[category])
+        total, inside = sums(self.holding).astype(float), sums(self.inside[category])
+        expected = total * positive / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chi = (inside - expected) ** 2 / (expected * (1 - positive / n) * (1 - total / n))
+        chi[~np.isfinite(chi) | (total < 3)] = 0
+        best = np.argsort(-chi, kind="stable")[:most]
+        return np.sort(best[chi[best] >= least_chi])
 
-def fit_chain(texts: Texts, labels: dict[str, np.ndarray], folds: int, words: int, ridge: float, least_chi: float) -> Chain:
-    """labels: categories in the order of the chain, each 0 or 1 by text."""
+
+def fit_chain(texts: Texts, labels: dict[str, np.ndarray], fold: np.ndarray, chosen: dict[tuple[str, int | None], np.ndarray], ridge: float) -> Chain:
+    """labels: categories in the order of the chain, each 0 or 1 by text; chosen: buckets by category and the fold left out."""
     chain = Chain()
-    fold = np.arange(len(texts)) % folds
     earlier = np.zeros((len(texts), 0))
 
-    def link_of(name: str, rows: np.ndarray, y: np.ndarray) -> Link:
+    def link_of(name: str, without: int | None, y: np.ndarray) -> Link:
+        rows = np.flatnonzero(fold != (-1 if without is None else without))
         some = texts.rows(rows)
-        link = Link(name, _choose(some, y[rows], words, least_chi), np.zeros(0), np.ones(0), np.zeros(0))
+        link = Link(name, chosen[name, without], np.zeros(0), np.ones(0), np.zeros(0))
         x = chain.matrix(link, some, earlier[rows])
         link.mean, spread = (x.mean(0), x.std(0)) if len(rows) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         link.scale = np.where(spread > 1e-9, spread, 1.0)
@@ -170,13 +183,13 @@ def fit_chain(texts: Texts, labels: dict[str, np.ndarray], folds: int, words: in
 
     for name, y in labels.items():
         held_out = np.full(len(texts), 0.5)
-        for k in range(folds):
-            rows, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-            if len(rows) and len(rest):
-                link = link_of(name, rest, y)
+        for k in np.unique(fold).tolist():
+            rows = np.flatnonzero(fold == k)
+            if len(rows) < len(fold):
+                link = link_of(name, k, y)
                 x = (chain.matrix(link, texts.rows(rows), earlier[rows]) - link.mean) / link.scale
                 held_out[rows] = _sigmoid(x @ link.weights[:-1] + link.weights[-1])
-        chain.links.append(link_of(name, np.arange(len(texts)), y))
+        chain.links.append(link_of(name, None, y))
         earlier = np.column_stack((earlier, held_out))
     return chain
 
@@ -186,7 +199,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 256):
         t = featurise(batch.column("text"))
         dense = _lists(t.dense.reshape(-1), np.arange(len(t) + 1) * len(DENSE))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(t.bucket, t.offsets), _lists(t.count, t.offsets), dense, batch.column("labels")], ["doc_id", "bucket", "count", "dense", "labels"])
@@ -196,35 +209,61 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of doc_id.
 
     categories: name to a 0/1 expression over ``labels``, in the order of the
-    chain.  Rows with a null doc_id or label are left out.  The bound keeps the
-    fit on the driver small; what is scored afterwards has none.
+    chain.  Rows with a null doc_id or label are left out; of several texts with
+    one doc_id and labels the least is used.
+
+    What reaches the driver is bounded whatever the texts' lengths: a row of
+    fixed size for each labelled document, the counts of BUCKETS buckets in each
+    fold, and the counts in each document of the buckets that some link looks at,
+    ``words`` for each category and fold at most.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*(c.cast("int") for c in categories.values())).alias("labels"))
     picked = picked.where("doc_id is not null and not exists(labels, x -> x is null)").orderBy(F.xxhash64("doc_id"), "doc_id", "labels").limit(max_labelled)
     # max_labelled rows of a few bytes: safe to broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "labels")
-    got = rows.mapInArrow(_extract, "doc_id long, bucket array<int>, count array<int>, dense array<double>, labels array<int>").toArrow().combine_chunks()
-
-    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = got.column(name)
-        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
-        return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-
-    bucket, offsets = flat("bucket")
-    texts = Texts(bucket, flat("count")[0], offsets, flat("dense")[0].reshape(-1, len(DENSE)))
-    given = flat("labels")[0].reshape(-1, len(categories)).astype(float)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "labels").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    seen = rows.mapInArrow(_extract, "doc_id long, bucket array<int>, count array<int>, dense array<double>, labels array<int>")
+    seen = scratch.cut(seen.withColumn("row", F.monotonically_increasing_id()), "features")
+
+    told = seen.select("row", "doc_id", "dense", "labels").toArrow()
+    ids = told.column("doc_id").to_numpy()
+    dense = np.array(told.column("dense").to_pylist(), float).reshape(-1, len(DENSE))
+    given = np.array(told.column("labels").to_pylist(), float).reshape(-1, len(categories))
     # rows come in any order, and the fit must not depend on it
-    order = np.lexsort((*given.T, np.diff(offsets), got.column("doc_id").to_numpy()))
-    return fit_chain(texts.rows(order), {name: given[order, k] for k, name in enumerate(categories)}, folds, words, ridge, least_chi)
+    order = np.lexsort((*given.T, ids))
+    ids, dense, given, number = ids[order], dense[order], given[order], told.column("row").to_numpy()[order]
+    fold = np.arange(len(ids)) % folds
+    # a row of a few bytes for each labelled document, and for each bucket chosen: safe to broadcast
+    places = spark.createDataFrame(pa.table({"row": pa.array(number, pa.int64()), "place": pa.array(np.arange(len(ids)), pa.int64()), "fold": pa.array(fold, pa.int32())}))
+    seen = seen.join(F.broadcast(places), "row")
+
+    sums = [F.sum(F.col("labels")[k]).cast("int").alias(f"in_{k}") for k in range(len(categories))]
+    held = seen.select("fold", "labels", F.explode("bucket").alias("bucket")).groupBy("bucket", "fold").agg(F.count(F.lit(1)).cast("int").alias("n"), *sums).toArrow()
+    at = held.column("fold").to_numpy(), held.column("bucket").to_numpy()
+    holding, inside = np.zeros((folds, BUCKETS), np.int32), np.zeros((len(categories), folds, BUCKETS), np.int32)
+    holding[at] = held.column("n").to_numpy()
+    for k in range(len(categories)):
+        inside[k][at] = held.column(f"in_{k}").to_numpy()
+    positive = np.array([np.bincount(fold, given[:, k], folds) for k in range(len(categories))]).reshape(len(categories), folds)
+    counts = Counts(np.bincount(fold, minlength=folds), holding, positive, inside)
+    chosen = {(name, k): counts.choose(i, k, words, least_chi) for i, name in enumerate(categories) for k in (*range(folds), None)}
+
+    wanted = spark.createDataFrame(pa.table({"bucket": pa.array(np.unique(np.concatenate(list(chosen.values()))), pa.int32())}))
+    each = seen.select("place", F.explode(F.arrays_zip("bucket", "count")).alias("x")).select("place", "x.bucket", "x.count").join(F.broadcast(wanted), "bucket").toArrow()
+    place, bucket, count = (each.column(x).to_numpy() for x in ("place", "bucket", "count"))
+    by = np.lexsort((bucket, place))
+    texts = Texts(bucket[by], count[by], np.searchsorted(place[by], np.arange(len(ids) + 1)), dense)
+    scratch.delete(scratch.folder)
+    return fit_chain(texts, {name: given[:, k] for k, name in enumerate(categories)}, fold, chosen, ridge)
 
 
 def _score(chain: Chain, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, max(1, batch.num_rows), 1024):
-                part = batch.slice(i, 1024)
-                p = chain.predict(featurise(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*names, *(f"p_{link.name}" for link in chain.links)])
+        for part in slices(batches, 512):
+            p = chain.predict(featurise(part.column("text")))
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*names, *(f"p_{link.name}" for link in chain.links)])
 
     return run
 
