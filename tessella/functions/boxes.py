@@ -58,3 +58,18 @@ def box_similarity(ax: Column, ay: Column, a_area: Column, bx: Column, by: Colum
     """1 for equal centres and areas, falling with distance (900) and difference of area (500000), 0 at least."""
     distance = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
     return F.greatest(F.lit(0.0), 1.0 - distance / 900.0 - F.abs(a_area - b_area) / 500000.0)
+
+
+def example_score(query: dict[str, Column], example: dict[str, Column]) -> Column:
+    """How well a caption example fits a query: 100 for the phase, 30 for the view, 12 for the scenario type, 10 and 7 for like boxes.
+
+    Both hold ``phase, view, scenario_type`` and, as structs of ``cx, cy, area``
+    or null, ``pedestrian`` and ``vehicle``; nulls of one name are equal.
+    """
+    score = F.lit(0.0)
+    for name, points in (("phase", 100.0), ("view", 30.0), ("scenario_type", 12.0)):
+        score = score + F.when(query[name].eqNullSafe(example[name]), points).otherwise(0.0)
+    for role, points in (("pedestrian", 10.0), ("vehicle", 7.0)):
+        a, b = query[role], example[role]
+        score = score + F.coalesce(points * box_similarity(a.cx, a.cy, a.area, b.cx, b.cy, b.area), F.lit(0.0))
+    return score

@@ -274,3 +274,28 @@ def contradicted(texts: dict[str, Column]) -> dict[str, Column]:
             swapped = swapped.when(F.regexp_like(both, F.lit(rf"(?i)\b{word}\b")), replaced_once(text, word, new))
         out[name] = swapped.otherwise(F.concat(text, F.lit(" The pedestrian was in his 70s.")) if name == names[0] else text)
     return out
+
+
+def stable_id(fields: dict[str, Column], length: int = 16) -> Column:
+    """The first characters of a SHA-1 over named values, whatever their order: ``name=<characters>:<value>`` by name, ``name=~`` for null."""
+    told = [F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("~"))) for name, c in sorted(fields.items())]
+    return F.substring(F.sha1(F.concat_ws(";", *told).cast("binary")), 1, length)
+
+
+def path_hash(path: Column, length: int = 16) -> Column:
+    """The name under which what was made from a media file is kept."""
+    return F.substring(F.sha1(path.cast("binary")), 1, length)
+
+
+def box_means(text: Column, role: str) -> Column:
+    """struct<cx, cy, area> of the mean of a role's ``- role ... mean=[x1, y1, x2, y2]`` lines; null without one of four numbers."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)-\s+{role}\b.*?mean=\[([0-9,\s]+)\]"), F.lit(1))
+    boxes = F.transform(found, lambda x: F.transform(F.filter(F.split(x, ","), lambda v: F.trim(v) != ""), lambda v: F.trim(v).cast("int")))
+    boxes = F.filter(boxes, lambda b: F.size(b) == 4)
+
+    def mean(of) -> Column:
+        return F.aggregate(boxes, F.lit(0.0), lambda total, b: total + of(b)) / F.size(boxes)
+
+    zero = F.lit(0)
+    area = mean(lambda b: (F.greatest(zero, b[2] - b[0]) * F.greatest(zero, b[3] - b[1])).cast("double"))
+    return F.when(F.size(boxes) > 0, F.struct(mean(lambda b: (b[0] + b[2]) / 2.0).alias("cx"), mean(lambda b: (b[1] + b[3]) / 2.0).alias("cy"), area.alias("area")))

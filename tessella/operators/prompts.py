@@ -40,6 +40,21 @@ def caption_prompt(view: Column, scenario_type: Column, phase: Column, media: Co
     return _blocks(F.lit(CAPTION_SYSTEM), head, tags(media), F.lit(""), F.coalesce(context, F.lit("")) if context is not None else F.lit(""), F.lit(f"{RETURN_JSON}\n{CAPTION_KEYS_TEXT}"))
 
 
+def replaced_options(instruction: Column, options: Column) -> Column:
+    """The instruction with the lines of its first options block replaced; one without a block is an error."""
+    block = r"(?s)^(.*?)Options:\n.*?\n\nReturn only(.*)$"
+    new = F.concat(F.regexp_extract(instruction, block, 1), F.lit("Options:\n"), option_lines(options), F.lit("\n\nReturn only"), F.regexp_extract(instruction, block, 2))
+    return F.when(instruction.rlike(block), new).otherwise(F.raise_error(F.lit("no options block to replace")).cast("string"))
+
+
+def remapped(options: Column, correct: Column, rejected: Column, chosen: Column, refused: Column) -> Column:
+    """options under new letters: the correct one at ``chosen``, the rejected one at ``refused``, the others in their order at the rest."""
+    letters = F.array_sort(F.map_keys(options))
+    old = F.concat(F.array(correct, rejected), F.filter(letters, lambda x: (x != correct) & (x != rejected)))
+    new = F.concat(F.array(chosen, refused), F.filter(letters, lambda x: (x != chosen) & (x != refused)))
+    return F.map_from_arrays(new, F.transform(old, lambda x: F.element_at(options, x)))
+
+
 def parsed_options(instruction: Column) -> Column:
     """Letter to text, from the lines between "Options:" and "Return only"."""
     block = F.regexp_extract(instruction, r"(?is)(?:^|\n)[ \t]*options:[ \t]*\n(.*?)(?:\n[ \t]*return only|$)", 1)

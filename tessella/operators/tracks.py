@@ -121,6 +121,22 @@ def crop_filter(side: Column, left: Column, top: Column, size: int = 768) -> Col
     return F.format_string(f"crop=%d:%d:%d:%d,scale={size}:{size}:force_original_aspect_ratio=decrease,pad={size}:{size}:(ow-iw)/2:(oh-ih)/2", side, side, left, top)
 
 
+def clip_errors(manifest: DataFrame, probes: DataFrame, max_errors: int = 0) -> DataFrame:
+    """``ord, clip_path, error`` of the clips that can't be used, in the manifest's order; max_errors 0 is no limit.
+
+    manifest: ``ord, clip_path``; probes: ``clip_path, size, duration, frames``,
+    one row a file that is there, with null duration or frames where probing it
+    failed.
+    """
+    probed = manifest.select("ord", "clip_path").join(probes.withColumn("_there", F.lit(True)), "clip_path", "left")
+    error = (
+        F.when(F.col("_there").isNull(), "missing").when(F.col("size") == 0, "zero_bytes").when(F.col("duration").isNull() | F.col("frames").isNull(), "ffprobe_failed")
+        .when(F.col("duration") <= 0, "non_positive_duration").when(F.col("frames") <= 0, "zero_decodable_frames")
+    )
+    out = probed.select("ord", "clip_path", error.alias("error")).where("error is not null")
+    return out.orderBy("ord").limit(max_errors) if max_errors else out
+
+
 def good_clips(manifest: DataFrame, errors: DataFrame) -> DataFrame:
     """The manifest without clips that a check reported."""
     return manifest.join(errors.select("clip_path"), "clip_path", "left_anti")

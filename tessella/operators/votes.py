@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.fixed import LETTERS
@@ -63,6 +63,64 @@ def routed_vote(votes: DataFrame, routes: Mapping[str, Sequence[str]], weights:
     return out.select("id", F.coalesce("best.letter", "default").alias("letter"), F.coalesce("best.score", F.lit(0)).cast("long").alias("score"))
 
 
+def resolved_rule(rules: Mapping, question_type: str, available: Sequence[str], fallback: str) -> tuple[list[str], str]:
+    """(inputs, fallback) of a question type: its rule, else the default one, else the fallback alone.
+
+    A rule is a list of sources or an object of ``inputs`` and ``fallback``; a
+    source that ends in "?" may be missing, any other one must be there.
+    """
+    rule = rules.get("types", {}).get(question_type, rules.get("default"))
+    own = str(rule.get("fallback", fallback)) if isinstance(rule, Mapping) else fallback
+    named = rule.get("inputs", [own]) if isinstance(rule, Mapping) else [fallback] if rule is None else rule
+    if not isinstance(named, (list, tuple)):
+        raise ValueError(f"the rule for {question_type} names no list of sources")
+    named = [str(x).strip() for x in named]
+    lacking = [x for x in (*named, own) if not x.endswith("?") and x not in available]
+    if lacking:
+        raise ValueError(f"the rule for {question_type} names a missing source: {lacking[0]}")
+    inputs = [x.removesuffix("?") for x in named if x.removesuffix("?") in available]
+    return inputs or [own], own
+
+
+def ruled_vote(votes: DataFrame, rules: Mapping, available: Sequence[str], questions: DataFrame) -> DataFrame:
+    """``id, letter, score``: a vote of the sources that rules name for a question's type.
+
+    rules: ``fallback`` (else the first source), ``default`` and ``types``, as
+    resolved_rule reads them.  questions: ``id, question_type``; a question that
+    the general fallback lacks is an error.  Of equal letters the rule's own
+    fallback's counts.
+    """
+    general = str(rules.get("fallback", available[0])).strip()
+    if general not in available:
+        raise ValueError(f"the fallback is missing: {general}")
+    lone = missing_votes(votes, questions, [general]).limit(1).collect()
+    if lone:
+        raise ValueError(f"the fallback has no vote on id {lone[0].id}")
+    # question types are a fixed list
+    kinds = [r.question_type for r in questions.select("question_type").distinct().collect()]
+    rows = [(kind, source, own) for kind in kinds for inputs, own in [resolved_rule(rules, kind, available, general)] for source in dict.fromkeys(inputs)]
+    table = F.broadcast(votes.sparkSession.createDataFrame(rows, "question_type string, source string, own string"))
+    taking = questions.select("id", "question_type").join(table, "question_type")
+    cast = votes.join(taking, ["id", "source"]).select("id", "source", "letter")
+    own = taking.select("id", F.col("own").alias("source")).distinct().join(votes, ["id", "source"]).select("id", "letter")
+    voted = vote(cast, own)
+    default = votes.where(F.col("source") == general).select("id", F.col("letter").alias("default"))
+    return default.join(questions.select("id"), "id", "left_semi").join(voted, "id", "left").select("id", F.coalesce("letter", "default").alias("letter"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+def first_disputed(votes: DataFrame, questions: DataFrame, n: int = 3) -> DataFrame:
+    """``id, ord``: the first n questions on which the sources' answers differ, or the first n if none is disputed.
+
+    questions: ``id, ord``.  Empty answers don't count.
+    """
+    differ = votes.where("coalesce(letter, '') <> ''").groupBy("id").agg((F.min("letter") < F.max("letter")).alias("differ")).where("differ").select("id")
+    # n rows each
+    some = questions.select("id", "ord").join(differ, "id", "left_semi").orderBy("ord").limit(n).withColumn("disputed", F.lit(True))
+    plain = questions.select("id", "ord").orderBy("ord").limit(n).withColumn("disputed", F.lit(False))
+    both = some.unionByName(plain).withColumn("_any", F.max("disputed").over(Window.partitionBy(F.lit(0))))
+    return both.where(F.col("disputed") == F.col("_any")).select("id", "ord")
+
+
 def self_consistency(votes: DataFrame, fallback: DataFrame, min_votes: int = 8, min_margin: int = 3) -> DataFrame:
     """``id, letter, votes, margin, changed``: the top letter if it has enough votes and lead, else the fallback's.
 

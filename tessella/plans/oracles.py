@@ -304,4 +304,26 @@ SELECT 's' || track AS scenario_id, 's' || track || '_cam1' AS camera_id, phase,
 SELECT b.scenario_id, b.row_idx::BIGINT AS row_idx, coalesce(k.caption_vehicle, p.caption_vehicle) AS other_caption_vehicle FROM cap b LEFT JOIN (SELECT scenario_id, phase, arg_min(caption_vehicle, row_idx) AS caption_vehicle FROM o GROUP BY ALL) k ON k.scenario_id = b.scenario_id AND k.phase = b.phase
 LEFT JOIN o p ON p.scenario_id = b.scenario_id AND p.row_idx = b.row_idx WHERE b.source = 'base'""",
     "resume_antijoin": "SELECT doc_id, lang FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)",
+    "stable_ids": f"""WITH {QUESTIONS_SQL}, o AS (SELECT *, 'a. ' || options[1] || chr(10) || 'b. ' || options[2] || chr(10) || 'c. ' || options[3] || chr(10) || 'd. ' || options[4] AS opts FROM q)
+SELECT id, substr(sha1('options=' || length(opts) || ':' || opts || ';phase=' || coalesce(length(phase) || ':' || phase, '~') || ';question=' || length(question) || ':' || question || ';scenario_id=' || length(scenario_id) || ':' || scenario_id
+  || ';scope=' || length(scope) || ':' || scope), 1, 16) AS stable_id, substr(sha1('/videos/' || scenario_id || '.mp4'), 1, 24) AS media FROM o""",
+    "options_rewrite": f"""WITH {QUESTIONS_SQL}, k1 AS (SELECT *, instr('abcd', correct) AS spot FROM q),
+k2 AS (SELECT * EXCLUDE (options), options AS old, list_filter([1, 2, 3, 4], lambda i: i <> spot AND i <> spot % 4 + 1) AS rest FROM k1),
+r AS (SELECT * EXCLUDE (old), [old[rest[1]], old[spot], old[rest[2]], old[spot % 4 + 1]] AS options FROM k2)
+SELECT id, md5({PROMPT}) AS prompt_md5 FROM r""",
+    "rule_fusion": f"""WITH {VOTES_SQL}, {TYPED}, env AS (SELECT id, letter FROM v WHERE source = 'env'),
+asked AS (SELECT ty.id, question_type, env.letter AS general FROM ty JOIN env USING (id)),
+inp AS (
+  SELECT id, question_type, general, CASE WHEN question_type = 'pedestrian_action' THEN 'visual' ELSE 'env' END AS own,
+    unnest(CASE question_type WHEN 'weather' THEN ['env'] WHEN 'pedestrian_action' THEN ['ped_dynamic', 'visual', 'vehicle'] WHEN 'other' THEN ['env'] ELSE ['joint', 'qwen35', 'geometry'] END) AS source FROM asked),
+s AS (SELECT inp.id, v.letter, count(*)::BIGINT AS score FROM inp JOIN v ON v.id = inp.id AND v.source = inp.source GROUP BY ALL),
+o AS (SELECT DISTINCT inp.id, v.letter AS own FROM inp JOIN v ON v.id = inp.id AND v.source = inp.own),
+b AS (SELECT s.id, s.letter, s.score, row_number() OVER (PARTITION BY s.id ORDER BY s.score DESC, (s.letter = coalesce(o.own, 'a')) DESC, s.letter) AS r FROM s LEFT JOIN o ON o.id = s.id)
+SELECT a.id, coalesce(b.letter, a.general) AS letter, coalesce(b.score, 0)::BIGINT AS score FROM asked a LEFT JOIN b ON b.id = a.id AND b.r = 1""",
+    "first_disputed": f"WITH {VOTES_SQL}, {FALLBACK_SQL}, d AS (SELECT id FROM v GROUP BY id HAVING count(DISTINCT letter) > 1) SELECT id, ord FROM f SEMI JOIN d USING (id) ORDER BY ord LIMIT 3",
+    "box_text_features": f"""WITH {TRACKS_SQL}, b AS (SELECT track, role, image_id % 700 AS x1, image_id % 500 AS y1, ord % 900 AS x2, ord % 800 AS y2 FROM t)
+SELECT track, role, round(avg((x1 + x2) / 2.0::DOUBLE), 4) AS cx, round(avg((y1 + y2) / 2.0::DOUBLE), 4) AS cy, round(avg((greatest(0, x2 - x1) * greatest(0, y2 - y1))::DOUBLE), 4) AS area FROM b GROUP BY ALL""",
+    "clip_errors": """WITH e AS (SELECT event_id AS ord, '/clips/' || event_id || '.mp4' AS clip_path, event_id % 11 = 0 AS gone, event_id % 5 AS size, nullif(event_id % 7, 3) - 1.0 AS duration, event_id % 3 AS frames FROM events),
+c AS (SELECT ord, clip_path, CASE WHEN gone THEN 'missing' WHEN size = 0 THEN 'zero_bytes' WHEN duration IS NULL THEN 'ffprobe_failed' WHEN duration <= 0 THEN 'non_positive_duration' WHEN frames <= 0 THEN 'zero_decodable_frames' END AS error FROM e)
+SELECT * FROM c WHERE error IS NOT NULL""",
 }

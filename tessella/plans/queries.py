@@ -511,3 +511,55 @@ def key_or_place_join(spark, sf_dir):
 @query
 def resume_antijoin(spark, sf_dir):
     return joins.unfinished(views.read(spark, sf_dir, "documents").select("doc_id", "lang"), views.read(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
+
+
+# ids, options, rules, clips
+
+
+@query
+def stable_ids(spark, sf_dir):
+    rows = views.questions(spark, sf_dir)
+    fields = {"scenario_id": F.col("scenario_id"), "scope": F.col("scope"), "phase": F.col("phase"), "question": F.col("question"), "options": prompts.option_lines(F.col("options"))}
+    media = F.concat(F.lit("/videos/"), "scenario_id", F.lit(".mp4"))
+    return rows.select("id", text.stable_id(fields).alias("stable_id"), text.path_hash(media, 24).alias("media"))
+
+
+@query
+def options_rewrite(spark, sf_dir):
+    rows = views.questions(spark, sf_dir)
+    prompt = prompts.vqa_prompt(F.col("scope"), F.lit("main"), F.col("phase"), F.col("question"), F.col("options"), F.expr("ord % 3"))
+    next_ = F.translate("correct", "abcd", "bcda")
+    options = prompts.remapped(F.col("options"), F.col("correct"), next_, F.lit("b"), F.lit("d"))
+    return rows.select("id", F.md5(prompts.replaced_options(prompt, options).cast("binary")).alias("prompt_md5"))
+
+
+RULES = {"fallback": "env", "default": ["joint", "qwen35", "geometry?", "absent?"], "types": {"weather": ["env"], "pedestrian_action": {"inputs": ["ped_dynamic", "visual", "vehicle"], "fallback": "visual"}, "other": ["absent?"]}}
+
+
+@query
+def rule_fusion(spark, sf_dir):
+    cast = views.votes(spark, sf_dir)
+    known = _typed(spark, sf_dir).join(cast.where("source = 'env'").select("id"), "id", "left_semi")
+    return votes.ruled_vote(cast, RULES, views.SOURCES, known.select("id", "question_type"))
+
+
+@query
+def first_disputed(spark, sf_dir):
+    return votes.first_disputed(views.votes(spark, sf_dir), views.fallback(spark, sf_dir))
+
+
+@query
+def box_text_features(spark, sf_dir):
+    rows = views.tracks(spark, sf_dir)
+    line = F.format_string("- %s phase %s mean=[%d, %d, %d, %d]", "role", "phase", F.expr("cast(image_id % 700 as int)"), F.expr("cast(image_id % 500 as int)"), F.expr("cast(ord % 900 as int)"), F.expr("cast(ord % 800 as int)"))
+    told = rows.groupBy("track").agg(F.array_join(F.collect_list(line), "\n").alias("t"))
+    each = told.select("track", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), text.box_means(F.col("t"), r).alias("m")) for r in ("pedestrian", "vehicle")))).alias("x")).where("x.m is not null")
+    return each.select("track", "x.role", *(F.round(F.col(f"x.m.{c}"), 4).alias(c) for c in ("cx", "cy", "area")))
+
+
+@query
+def clip_errors(spark, sf_dir):
+    events = views.read(spark, sf_dir, "events")
+    path = F.format_string("/clips/%d.mp4", "event_id")
+    probes = events.where("event_id % 11 <> 0").select(path.alias("clip_path"), F.expr("event_id % 5").alias("size"), F.expr("nullif(event_id % 7, 3) - 1.0").alias("duration"), F.expr("event_id % 3").alias("frames"))
+    return tracks.clip_errors(events.select(F.col("event_id").alias("ord"), path.alias("clip_path")), probes)

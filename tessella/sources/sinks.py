@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -26,9 +28,11 @@ def write_document(df: DataFrame, path: str, order: str = "ord") -> None:
         out.write("\n]\n")
 
 
-def merge_registry(path: str, entries: Mapping[str, Mapping]) -> dict:
-    """Entries put into a JSON registry, later ones over earlier ones."""
+def merge_registry(path: str, entries: Mapping[str, Mapping], backup: str | None = None) -> dict:
+    """Entries put into a JSON registry, later ones over earlier ones; with ``backup`` a copy named by it and the time is kept beside it."""
     target = Path(path)
+    if backup and target.exists():
+        shutil.copy2(target, target.with_name(f"{target.name}.{backup}_{datetime.now():%Y%m%d_%H%M%S}"))
     known = json.loads(target.read_text(encoding="utf-8")) if target.exists() else {}
     known.update(entries)
     target.parent.mkdir(parents=True, exist_ok=True)
@@ -36,8 +40,11 @@ def merge_registry(path: str, entries: Mapping[str, Mapping]) -> dict:
     return known
 
 
-def write_submission(captions: str, answers: str, path: str) -> None:
-    """A zip with the two documents of a submission."""
+def write_submission(captions: str, answers: str, path: str, errors: Sequence[DataFrame] = ()) -> None:
+    """A zip with the two documents of a submission; a row in one of ``errors``, as the checks give them, stops it."""
+    for table in errors:
+        if found := table.limit(1).collect():
+            raise ValueError(f"the submission is not valid: {found[0].asDict()}")
     with zipfile.ZipFile(path, "w", compression=zipfile.ZIP_DEFLATED) as out:
         out.write(captions, "caption_submission.json")
         out.write(answers, "vqa_submission.json")

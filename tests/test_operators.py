@@ -375,3 +375,60 @@ def test_overlay_and_crop_filters(spark):
     assert made[7] == "drawbox=x=0:y=5:w=50:h=30:color=white@0.35:t=2" and len(made) == 8
     assert one(spark, tracks.crop_filter(F.lit(96), F.lit(4), F.lit(2), 64)).startswith("crop=96:96:4:2,scale=64:64")
     assert one(spark, tracks.frame_time(F.lit(0.6), "one_sec")) == 0.3
+
+
+def test_rules_name_sources_that_may_be_missing(spark):
+    rules = {"default": ["b?", "c?"], "types": {"w": {"inputs": ["a", "x?"], "fallback": "b"}, "v": ["x"], "u": "a", "t": ["x?"]}}
+    assert votes.resolved_rule(rules, "other", ["a", "b"], "a") == (["b"], "a")
+    assert votes.resolved_rule(rules, "w", ["a", "b"], "a") == (["a"], "b")
+    assert votes.resolved_rule(rules, "t", ["a", "b"], "a") == (["a"], "a")
+    assert votes.resolved_rule({}, "t", ["a", "b"], "b") == (["b"], "b")
+    for kind in "vu":
+        with pytest.raises(ValueError):
+            votes.resolved_rule(rules, kind, ["a", "b"], "a")
+    cast = table(spark, [("1", "a", "c"), ("1", "b", "d"), ("2", "a", "a")], "id string, source string, letter string")
+    asked = table(spark, [("1", "t"), ("2", "other"), ("3", "t")], "id string, question_type string")
+    with pytest.raises(ValueError):
+        votes.ruled_vote(cast, rules, ["a", "b"], asked)
+    out = votes.ruled_vote(cast, rules, ["a", "b"], asked.where("id < '3'")).collect()
+    assert sorted(map(tuple, out)) == [("1", "c", 1), ("2", "a", 0)]
+
+
+def test_options_block_has_to_be_there(spark):
+    row = spark.createDataFrame([("Question: q\nOptions:\na. $1\nb. x\n\nReturn only the letter.", {"a": "x\\1", "b": "$1"})], "p string, o map<string, string>")
+    assert row.select(prompts.replaced_options(F.col("p"), F.col("o"))).first()[0] == "Question: q\nOptions:\na. x\\1\nb. $1\n\nReturn only the letter."
+    with pytest.raises(Exception, match="no options block"):
+        row.select(prompts.replaced_options(F.lit("Options: none"), F.col("o"))).collect()
+
+
+def test_no_dispute_gives_the_first_questions(spark):
+    cast = table(spark, [("1", "a", "c"), ("1", "b", ""), ("2", "a", "a")], "id string, source string, letter string")
+    asked = table(spark, [("1", 5), ("2", 3), ("3", 9)], "id string, ord int")
+    assert [r.id for r in votes.first_disputed(cast, asked, 2).orderBy("ord").collect()] == ["2", "1"]
+    more = cast.unionByName(table(spark, [("1", "c", "d")], "id string, source string, letter string"))
+    assert [r.id for r in votes.first_disputed(more, asked, 2).collect()] == ["1"]
+
+
+def test_examples_are_scored_by_phase_view_type_and_boxes(spark):
+    from tessella.functions.boxes import example_score
+
+    box = "struct<cx: double, cy: double, area: double>"
+    rows = spark.createDataFrame([("1", "v", "m", (0.0, 0.0, 0.0), None, "1", "x", "m", (450.0, 0.0, 0.0), (1.0, 1.0, 1.0))], f"p string, v string, t string, a {box}, b {box}, p2 string, v2 string, t2 string, a2 {box}, b2 {box}")
+    names = ("phase", "view", "scenario_type", "pedestrian", "vehicle")
+    left, right = (dict(zip(names, (F.col(c + end) for c in "pvtab"))) for end in ("", "2"))
+    assert rows.select(example_score(left, right)).first()[0] == 100 + 12 + 5
+
+
+def test_registry_backup_and_checked_submission(spark, tmp_path):
+    from tessella.sources.sinks import merge_registry, write_submission
+
+    path = tmp_path / "info.json"
+    merge_registry(str(path), {"a": {"x": 1}}, backup="bak")
+    merge_registry(str(path), {"b": {}}, backup="bak")
+    kept = list(tmp_path.glob("info.json.bak_*"))
+    assert len(kept) == 1 and '"b"' not in kept[0].read_text() and '"b"' in path.read_text()
+    errors = spark.createDataFrame([(1, "missing id")], "ord int, error string")
+    with pytest.raises(ValueError, match="missing id"):
+        write_submission(str(path), str(path), str(tmp_path / "s.zip"), [errors])
+    write_submission(str(path), str(path), str(tmp_path / "s.zip"), [errors.where("false")])
+    assert (tmp_path / "s.zip").exists()
