@@ -1,13 +1,18 @@
 """Exact top-k inner products with a KD-tree in every shard.
 
-Vectors are dealt to shards by a hash of their id, about ``SHARD_ROWS`` each.
-A shard's tree halves its vectors at the median of the widest dimension and
-gives every node the tight box of its vectors.  No vector in a box [lo, hi]
-scores more with query q than the sum over dimensions of max(q * lo, q * hi).
-A traversal visits a query's nodes by falling bound and ends when the bound
-falls below the query's kth score.  Every query first visits one shard; the kth
-score found there goes with it to all other shards, where boxes below it are
-never opened.
+Vectors are dealt to cells by the top splits of one tree, whose medians come
+from a bounded sample, and cells of more than ``SHARD_ROWS`` vectors are dealt
+on by a hash of the id, so that shards are small whatever is in them; a shard's
+box is the tight box of its vectors.  A shard's tree halves its vectors at the
+median of the widest dimension and gives every node the tight box of its
+vectors.  No vector in a box [lo, hi] scores more with query q than the sum over
+dimensions of max(q * lo, q * hi).  A traversal visits a query's nodes by
+falling bound and ends when the bound falls below the query's kth score.
+
+Blocks of queries visit shards in waves: first the shard of the highest bound,
+then the next WAVE, then WAVE times as many, and so on.  After each wave the kth
+scores have risen, and only shards whose box some query of the block could still
+gain from are visited by the next one; the others' trees never meet the block.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from tessella.llm.scratch import Scratch
 
 #: Vectors in a shard, in a leaf; queries that travel together.
 SHARD_ROWS, LEAF, BLOCK = 8192, 256, 512
+#: Vectors that the top splits are fitted on, about; vectors of the sample in a cell; growth of waves; boxes handled at once.
+SAMPLE, CELL, WAVE, BOXES = 16384, 64, 4, 2048
 
 
 def once(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,80 +158,171 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _pack(build: Callable) -> Callable:
-    """One row with a pickled value for each run of equal (part, dim); rows come sorted by them."""
+class Cuts:
+    """The top of a tree over a sample: medians of the widest dimension down to cells of CELL vectors."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.dimension, self.value, self.child = [], [], []
+        self.cells = 0
+
+        def build(part: np.ndarray, left: int) -> int:
+            spread = part.max(0) - part.min(0) if len(part) else np.zeros(0)
+            if left < 2 or len(part) < 2 * CELL or not spread.max(initial=0):
+                self.cells += 1
+                return -self.cells
+            dimension = int(spread.argmax())
+            value = float(np.median(part[:, dimension]))
+            below = part[:, dimension] < value
+            if not below.any():
+                value = float(part[part[:, dimension] > value, dimension].min())
+                below = part[:, dimension] < value
+            node = len(self.value)
+            self.dimension.append(dimension)
+            self.value.append(value)
+            self.child.append(None)
+            self.child[node] = build(part[below], left // 2), build(part[~below], left - left // 2)
+            return node
+
+        build(sample, cells)
+
+    def place(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell of each vector, from 0."""
+        if not self.value:
+            return np.zeros(len(vectors), np.int64)
+        dimension, value, child = np.array(self.dimension), np.array(self.value), np.array(self.child)
+        node = np.zeros(len(vectors), np.int64)
+        going = np.arange(len(vectors))
+        while len(going):
+            at = node[going]
+            node[going] = child[at, (vectors[going, dimension[at]] >= value[at]).astype(int)]
+            going = going[node[going] >= 0]
+        return -node - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
 
-        def done() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            blob = pickle.dumps(build(table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks())), protocol=5)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([blob], pa.binary())], ["part", "dim", "blob"])
+def _placed(cuts: dict[int, Cuts]) -> Callable:
+    """``vec_id, v`` with ``dim, cell``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, dims = batch.column("part").to_numpy(), batch.column("dim").to_numpy()
-            cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (dims[1:] != dims[:-1])) + 1).tolist(), len(parts)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and (parts[a], dims[a]) != key:
-                    yield done()
-                    held = []
-                key = (parts[a], dims[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield done()
+            dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            cell = np.zeros(len(dims), np.int64)
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                if d in cuts and d:
+                    cell[rows] = cuts[d].place(_matrix(batch.column("v").take(pa.array(rows))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(cell)], [*batch.schema.names, "dim", "cell"])
 
     return run
 
 
-def _block(ids: np.ndarray, vectors: np.ndarray) -> tuple:
-    """Queries that travel together: names, vectors, (score, -id) so far."""
-    names, queries = once(ids, vectors)
-    return names, queries, [[] for _ in names]
+PACKED = "part long, dim int, blob binary, box binary"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:
+    """The rows of each (part, dim); rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        parts, dims = batch.column("part").to_numpy(), batch.column("dim").to_numpy()
+        cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (dims[1:] != dims[:-1])) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and (int(parts[a]), int(dims[a])) != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = (int(parts[a]), int(dims[a]))
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _row(key: tuple[int, int], blob: bytes, box: bytes | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([blob], pa.binary()), pa.array([box], pa.binary())], ["part", "dim", "blob", "box"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A tree for each (part, dim), and its root's box with the least id."""
+    for key, table in _grouped(batches):
+        tree = Tree(table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks()))
+        yield _row(key, pickle.dumps(vars(tree), protocol=5), pickle.dumps((key[0], tree.lo[0], tree.hi[0], int(tree.least[0])), protocol=5))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries that travel together: names, vectors, (score, -id) so far, shards visited."""
+    for key, table in _grouped(batches):
+        names, queries = once(table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks()))
+        yield _row(key, pickle.dumps((names, queries, [[] for _ in names], []), protocol=5))
+
 
+def _box_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The boxes of each (part, dim) in one value: shards, least and greatest corners, least ids."""
+    for key, table in _grouped(batches):
+        boxes = [pickle.loads(x) for x in table.column("box").to_pylist()]
+        shards, lo, hi, least = (np.array(x) for x in zip(*boxes))
+        yield _row(key, pickle.dumps((shards, lo, hi, least), protocol=5))
 
-def _first_visit(k: int) -> Callable:
-    """The block with what its home shard gives."""
+
+def _wanted(k: int) -> Callable:
+    """``part, dim, shard, bound``: the shards that some query of a block can still gain from, with the highest bound of such queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, dim, block, tree in zip(*(batch.column(x) for x in ("part", "dim", "blob", "tree"))):
-                names, queries, best = pickle.loads(block.as_buffer())
-                best = Tree.load(tree).search(queries, names, k, best)
-                blob = pickle.dumps((names, queries, best), protocol=5)
-                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([dim.as_py()], pa.int32()), pa.array([blob], pa.binary())], ["part", "dim", "blob"])
+            for part, dim, block, sheet in zip(*(batch.column(x) for x in ("part", "dim", "blob", "sheet"))):
+                _, queries, best, visited = pickle.loads(block.as_buffer())
+                shards, lo, hi, least = pickle.loads(sheet.as_buffer())
+                bounds = products(np.maximum(queries, 0), hi) + products(np.minimum(queries, 0), lo)
+                full = np.array([len(x) == k for x in best])
+                score, name = (np.array([x[0][j] if len(x) == k else 0 for x in best], dtype=object if bounds.dtype == object else float) for j in (0, 1))
+                gain = ~full[:, None] | (bounds > score[:, None]) | ((bounds == score[:, None]) & (least[None, :] < -name[:, None]))
+                gain = gain.astype(bool) & ~np.isin(shards, visited)[None, :]
+                some = np.flatnonzero(gain.any(0))
+                top = [float(bounds[gain[:, j], j].max()) for j in some]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int64()), pa.array([dim.as_py()] * n, pa.int32()), pa.array(shards[some].astype(np.int64)), pa.array(top, pa.float64())], ["part", "dim", "shard", "bound"])
 
     return run
 
 
-def _rows(names: np.ndarray, best: list[list[tuple[int, int]]], old: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    rows = [(int(q), -n, s) for q, now, before in zip(names, best, old) for s, n in now if (s, n) not in before]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+def _visit(k: int) -> Callable:
+    """What a shard adds to a block that knows its kth scores so far."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, dim, shard, block, tree in zip(*(batch.column(x) for x in ("part", "dim", "shard", "blob", "tree"))):
+                names, queries, known, _ = pickle.loads(block.as_buffer())
+                best = Tree.load(tree).search(queries, names, k, [list(x) for x in known])
+                # of a wave's shards each one's finds are kept apart from what was known
+                news = [[x for x in now if x not in before] for now, before in zip(best, map(set, known))]
+                yield _row((part.as_py(), dim.as_py()), pickle.dumps((shard.as_py(), news), protocol=5))
 
-def _home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch.column("blob"):
-            names, _, best = pickle.loads(block.as_buffer())
-            yield _rows(names, best, [[] for _ in names])
+    return run
 
 
-def _later_visit(k: int) -> Callable:
-    """What another shard adds to a block that knows its home shard's kth scores."""
+def _merge(k: int) -> Callable:
+    """Blocks with the finds of a wave; a block's own row (``old``) comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, tree in zip(batch.column("blob"), batch.column("tree")):
-                names, queries, known = pickle.loads(block.as_buffer())
-                best = Tree.load(tree).search(queries, names, k, [list(x) for x in known])
-                yield _rows(names, best, known)
+        for key, table in _grouped(batches):
+            blobs = table.column("blob")
+            names, queries, best, visited = pickle.loads(blobs[0].as_buffer())
+            for blob in blobs[1:]:
+                shard, news = pickle.loads(blob.as_buffer())
+                visited.append(shard)
+                best = [sorted(old + new)[-k:] for old, new in zip(best, news)]
+            yield _row(key, pickle.dumps((names, queries, best, visited), protocol=5))
 
     return run
 
 
+def _finds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column("blob"):
+            names, _, best, _ = pickle.loads(block.as_buffer())
+            rows = [(int(q), place, -n, s) for q, own in zip(names, best) for place, (s, n) in enumerate(reversed(own), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["query_id", "rank", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k highest inner products of each query with all vectors but its own.
 
@@ -239,30 +337,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     scratch = Scratch(spark, "kdtree")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def packed(table: DataFrame, size: int, build: Callable) -> tuple[DataFrame, int]:
-        parts = max(1, -(-table.count() // size))
-        dealt = table.select(F.expr(f"cast(pmod(xxhash64(vec_id), {parts}) as int)").alias("part"), F.size("v").alias("dim"), "vec_id", "v")
-        rows = dealt.repartition(min(n, parts), "part", "dim").sortWithinPartitions("part", "dim")
-        return scratch.cut(rows.mapInArrow(_pack(build), "part int, dim int, blob binary"), "packed"), parts
-
-    trees, shards = packed(vectors, SHARD_ROWS, lambda ids, v: vars(Tree(ids, v)))
-    blocks, _ = packed(queries, BLOCK, _block)
-    trees = trees.select(F.col("part").alias("shard"), F.col("dim").alias("tree_dim"), F.col("blob").alias("tree"))
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        return pairs.join(trees, (pairs.shard == trees.shard) & (pairs.dim == trees.tree_dim)).select("part", "dim", "blob", "tree")
-
-    home = F.pmod(F.col("part"), F.lit(shards)).cast("int")
-    # a length may have no vector in a block's home shard: such a block keeps an empty state
-    at_home = blocks.withColumn("shard", home)
-    visited = meet(at_home).mapInArrow(_first_visit(k), "part int, dim int, blob binary")
-    unmet = at_home.join(trees, (at_home.shard == trees.shard) & (at_home.dim == trees.tree_dim), "left_anti").select("part", "dim", "blob")
-    known = scratch.cut(visited.unionByName(unmet), "known")
-    others = known.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").select("part", "dim", "blob", "shard")
-    # a pair is a few megabytes and much work: one task for each few pairs
-    spread = others.repartition(n, "part", "shard")
-    later = meet(spread).mapInArrow(_later_visit(k), "query_id long, vec_id long, score long")
-    found = known.mapInArrow(_home_rows, "query_id long, vec_id long, score long").unionByName(later)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = vectors.count()
+    # about SAMPLE vectors, by a hash of their ids; the limit holds where an id is repeated very often
+    share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, rows)) * (1 << 30)))
+    sample = vectors.where(share).limit(2 * SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) and sample.num_chunks else sample
+    dims = sample.value_lengths().to_numpy(zero_copy_only=False) if len(sample) else np.zeros(0, np.int64)
+    cells = -(-rows // SHARD_ROWS)
+    cuts = {d: Cuts(_matrix(sample.take(pa.array(np.flatnonzero(dims == d)))), cells) for d in np.unique(dims).tolist() if d}
+
+    def packed(table: DataFrame, size: int, build: Callable, name: str) -> DataFrame:
+        """Rows of one cell together, at most about ``size``, as one value."""
+        placed = scratch.cut(table.select("vec_id", "v").mapInArrow(_placed(cuts), "vec_id long, v array<double>, dim int, cell long"), f"{name}-placed")
+        # a row for each cell and length: the cells are SAMPLE / CELL at most
+        pieces = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("pieces"))
+        part = F.expr("cell * 16777216 + pmod(xxhash64(vec_id), pieces)")
+        dealt = placed.join(pieces, ["dim", "cell"]).select(part.alias("part"), "dim", "vec_id", "v")
+        out = scratch.cut(dealt.repartition(n, "part", "dim").sortWithinPartitions("part", "dim").mapInArrow(build, PACKED), name)
+        scratch.drop(placed)
+        return out
+
+    trees = packed(vectors, SHARD_ROWS, _trees, "trees")
+    state = packed(queries, BLOCK, _blocks, "blocks").select("part", "dim", "blob")
+    sheet = F.pmod(F.xxhash64("part"), F.greatest(F.lit(1), F.ceil(F.lit(trees.count()) / BOXES))).alias("part")
+    sheets = trees.select(sheet, "dim", "box").repartition(n, "part", "dim").sortWithinPartitions("part", "dim").mapInArrow(_box_sheets, PACKED)
+    sheets = scratch.cut(sheets.select("dim", F.col("blob").alias("sheet")), "boxes")
+    trees = trees.select(F.col("part").alias("shard"), "dim", F.col("blob").alias("tree"))
+
+    width, at_once = 1, Window.partitionBy("part", "dim").orderBy(F.desc("bound"), "shard")
+    while True:
+        # blocks meet sheets of boxes of their length: a sheet is BOXES shards
+        wanted = state.repartition(n, "part", "dim").join(sheets, "dim").select("part", "dim", "blob", "sheet").mapInArrow(_wanted(k), "part long, dim int, shard long, bound double")
+        plan = scratch.cut(wanted.withColumn("_r", F.row_number().over(at_once)).where(F.col("_r") <= width).select("part", "dim", "shard"), "plan")
+        if plan.isEmpty():
+            break
+        pairs = plan.join(state, ["part", "dim"]).repartition(n, "part", "dim", "shard").join(trees, ["shard", "dim"]).select("part", "dim", "shard", "blob", "tree")
+        finds = scratch.cut(pairs.mapInArrow(_visit(k), PACKED).select("part", "dim", "blob"), "finds")
+        both = state.withColumn("old", F.lit(0)).unionByName(finds.withColumn("old", F.lit(1)))
+        merged = scratch.cut(both.repartition(n, "part", "dim").sortWithinPartitions("part", "dim", "old").mapInArrow(_merge(k), PACKED).select("part", "dim", "blob"), "merged")
+        scratch.drop(plan, finds)
+        state, width = merged, width * WAVE
+    return state.mapInArrow(_finds, "query_id long, rank int, vec_id long, score long")

@@ -27,6 +27,8 @@ def shards(monkeypatch):
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 100)
     monkeypatch.setattr(kdtree, "LEAF", 16)
     monkeypatch.setattr(kdtree, "BLOCK", 8)
+    monkeypatch.setattr(kdtree, "CELL", 8)
+    monkeypatch.setattr(kdtree, "BOXES", 3)
 
 
 def test_equals_brute_force_with_ties_and_copies(spark, shards):
@@ -53,6 +55,37 @@ def test_boxes_save_visits():
     assert sum(opened[2:]) < 3 * 3000
 
 
+def test_cells_hold_what_was_cut(spark):
+    rng = np.random.default_rng(3)
+    v = np.floor(rng.normal(size=(4000, 5)) * 64)
+    v[1000:3000] = v[0]
+    cuts = kdtree.Cuts(v, 16)
+    cell = cuts.place(v)
+    assert 1 < cuts.cells <= 16 and set(cell) <= set(range(cuts.cells)) and len(set(cell[1000:3000])) == 1
+
+
+def test_most_shards_are_never_visited_where_boxes_are_apart(spark, shards, monkeypatch):
+    """Twenty clusters on a line: a query's best are in the last ones, so a block's tree visits stay few."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal((c, 1, 1), 0.01, size=(100, 3)) for c in range(20)])
+    v = integer_vectors(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), 64)
+    asked = v.where("vec_id % 20 = 0")
+    plans = []
+    cut = kdtree.Scratch.cut
+
+    def seen(self, df, name="t"):
+        out = cut(self, df, name)
+        if name in ("plan", "blocks", "trees"):
+            plans.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(kdtree.Scratch, "cut", seen)
+    out = found(top_k(v, asked, 5))
+    assert out == brute(list(range(2000)), np.floor(64 * x).astype(int).tolist(), list(range(0, 2000, 20)), 5)
+    count = {name: sum(c for n, c in plans if n == name) for name in ("plan", "blocks", "trees")}
+    assert count["trees"] >= 16 and count["plan"] <= 0.3 * count["blocks"] * count["trees"]
+
+
 def test_defined_cases(spark):
     rows = [(1, [1.0, 0.0], "x"), (2, None, "x"), (3, [None, 1.0], "x"), (4, [float("nan"), 1.0], "x"), (5, [float("inf"), 0.0], "x"), (20, [1.0, 1.0], "x"), (20, [1.0, 1.0], "x"), (6, [1.0, 2.0, 3.0], "x"), (None, [1.0, 1.0], "x"), (7, [-0.01, 1e-9], "x"), (40, [1.0], "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
