@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tessella.llm.scratch import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars: every greater end has one link and is no link's least end."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    open_ = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))
+    return not open_.agg(F.count(F.lit(1)).alias("n")).first().n
 
 
 def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -19,28 +21,24 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
     links: columns ``u`` and ``v`` of one ordered type; loops and repeats are
     allowed, nulls are dropped.  Each round turns stars towards smaller ids and
     is cut to a table; minima are aggregated before they are exchanged, so a
-    vertex with very many links costs a row per task.  Ends when a round
-    changes nothing, after a number of rounds that grows with the logarithm of
-    the component's diameter.
+    vertex with very many links costs a row per task.  Ends when all components
+    are stars, after a number of rounds that grows with the logarithm of the
+    component's diameter.
     """
     edges = scratch.cut(links.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = _mark(edges)
     for _ in range(max_rounds):
-        if not mark[0]:
+        if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # repeats among these links change no minimum; the next exchange drops them
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(near, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         turned = scratch.cut(small, "stars")
-        now = _mark(turned)
         scratch.drop(edges)
         edges = turned
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -40,7 +40,7 @@ from tessella.llm.minhash import MinHasher, Posterior
 from tessella.llm.scratch import Scratch
 
 #: Classes of a bucket that one task compares with each other, and bytes of their sets.
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 768, 8 << 20
 #: Pairs whose signatures are gathered at once.
 PAIRS = 8192
 
@@ -270,10 +270,13 @@ def near_components(
     signed = units.join(worth, "unit", "left_semi").join(classes.select("digest", "sig", "keys"), "digest").select("unit", "band", "digest", "root", "sig", "keys", "part")
     survivors = scratch.cut(signed.repartitionByRange(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_survivors(hasher, test), schema), "survivors")
     held = survivors.join(sets, "digest").select("unit", "band", "digest", "root", "sig", "keys", "part", "set")
-    more = scratch.cut(held.repartitionByRange(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_forest(hasher, test, threshold), "u binary, v binary"), "more")
+    more = scratch.cut(held.repartition(n, "unit").sortWithinPartitions("unit", "digest").mapInArrow(_forest(hasher, test, threshold), "u binary, v binary"), "more")
     scratch.drop(members, placed_, several, sets, units, worth, survivors)
 
     if more.isEmpty():
         return rooted.toDF("digest", "root")
-    joined = rooted.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more)
-    return scratch.cut(connected_components(joined, scratch), "joined").toDF("digest", "root")
+    # these links are between components, which take part by their roots only
+    higher = scratch.cut(connected_components(more, scratch), "joined").toDF("root", "top")
+    lower = rooted.toDF("digest", "root").join(higher, "root", "left").select("digest", F.coalesce("top", "root").alias("root"))
+    alone = higher.join(rooted.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("digest"), F.col("top").alias("root"))
+    return scratch.cut(lower.unionByName(alone), "components")
