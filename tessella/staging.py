@@ -12,10 +12,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: set[str] = set()
+#: Rows and bytes of the Arrow batches that a cut exchanges with Python: at Spark's own 10,000 rows, batches of texts
+#: or sets take tens of MB in the virtual machine and again in every worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session with the settings of BATCH, and with its own again afterwards."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,7 +77,8 @@ class Scratch:
         """Write ``df`` and return the table read back."""
         self._cuts += 1
         path = f"{self.folder}/{self._cuts:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._tessella_path = path  # for drop()
         return back
