@@ -202,24 +202,20 @@ def rewrite_slots(captions: DataFrame, facts: DataFrame, mode: str = "balanced",
     if mode not in ("reorder", "balanced", "fill", "template"):
         raise ValueError(f"mode {mode}")
     rows, fact = with_fact_columns(captions, facts)
-    out = {}
-    for role in ROLES:
-        name = f"caption_{role}"
-        text = blank(F.col(name))
-        if mode == "template":
-            made = template(role, fact)
-            out[name] = tidy(F.when(made != "", made).otherwise(text))
-            continue
-        sentences = sentences_kept(text)
-        added = F.array().cast("array<string>")
-        if mode != "reorder":
-            taken = _slots_of(sentences, role)
-            low = F.lower(text)
-            new = _some(*fact_sentences(role, fact))
-            added = F.slice(_addable(new, role, taken, low), 1, most_added)
-        every = F.concat(sentences, added)
-        out[name] = tidy(F.array_join(distinct_sentences(every if mode == "fill" else in_slot_order(every, role)), " "))
-    return rows.withColumns(out).select(*captions.columns)
+    if mode == "template":
+        made = {r: template(r, fact) for r in ROLES}
+        return rows.withColumns({f"caption_{r}": tidy(F.when(made[r] != "", made[r]).otherwise(blank(F.col(f"caption_{r}")))) for r in ROLES}).select(*captions.columns)
+    # steps of their own: what a step uses more than once would else be written out, planned and worked out as often
+    text = {r: blank(F.col(f"caption_{r}")) for r in ROLES}
+    rows = rows.withColumns({f"_all_{r}": sentences_kept(text[r]) for r in ROLES})
+    if mode != "reorder":
+        rows = rows.withColumns({f"_new_{r}": _some(*fact_sentences(r, fact)) for r in ROLES} | {f"_low_{r}": F.lower(text[r]) for r in ROLES} | {f"_taken_{r}": _slots_of(F.col(f"_all_{r}"), r) for r in ROLES})
+        added = {r: F.slice(_addable(F.col(f"_new_{r}"), r, F.col(f"_taken_{r}"), F.col(f"_low_{r}")), 1, most_added) for r in ROLES}
+        rows = rows.withColumns({f"_all_{r}": F.concat(f"_all_{r}", added[r]) for r in ROLES})
+    if mode != "fill":
+        rows = rows.withColumns({f"_all_{r}": in_slot_order(F.col(f"_all_{r}"), r) for r in ROLES})
+    rows = rows.withColumns({f"_all_{r}": F.array_join(distinct_sentences(F.col(f"_all_{r}")), " ") for r in ROLES})
+    return rows.withColumns({f"caption_{r}": tidy(F.col(f"_all_{r}")) for r in ROLES}).select(*captions.columns)
 
 
 def _slots_of(sentences: Column, role: str) -> Column:
