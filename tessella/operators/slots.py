@@ -11,8 +11,9 @@ from tessella.functions.fixed import (
     CLASH_COLOURS, REWRITE_ARTIFACTS, SLOT_ATTENTION, SLOT_BEHAVIOR, SLOT_CONTEXT, SLOT_LOCATION, SLOT_STRONG_BEHAVIOR, SLOTS, TEMPLATE_FACTS, UNSUPPORTING,
 )
 from tessella.functions.text import blank, holds_any, lower_first, repetitive, sentences_kept, squash, upper_first, word_count
-from tessella.operators.captions import ROLES, overlap_f1
+from tessella.operators.captions import ROLES
 from tessella.operators.facts import fact_table
+from tessella.operators.grams import with_gram_f1
 
 Fact = Callable[[str], Column]
 
@@ -237,13 +238,13 @@ def slot_scores(candidates: DataFrame, base: DataFrame, facts: DataFrame, base_s
     keys = ["scenario_id", "row_idx"]
     rows = candidates.withColumns({"text": both, "full": (blank(F.col("caption_pedestrian")) != "") & (blank(F.col("caption_vehicle")) != "")})
     rows = rows.join(base.select(*keys, both.alias("base_text")), keys).withColumn("pair", F.concat_ws("|", "source", "scenario_id", "row_idx"))
-    pairs = rows.select("pair", F.col("text").alias("candidate"), F.col("base_text").alias("reference"))
+    rows = with_gram_f1(rows, "text", "base_text", {"tokens": 1, "grams": 4})
     low, base_low = F.lower("text"), F.lower("base_text")
     of = facts.select("scenario_id", F.col("phase").alias("fact_phase"), F.lower(F.trim("value")).alias("value")).where("value <> ''")
     met = rows.select("pair", "scenario_id", "phase", low.alias("low"), base_low.alias("base_low")).join(of, "scenario_id").where(F.col("fact_phase").isNull() | (F.col("fact_phase") == F.col("phase")))
     told, known = F.contains("low", F.col("value")), F.contains("base_low", F.col("value"))
     sums = met.groupBy("pair").agg(F.count(F.lit(1)).alias("facts"), F.count_if(told).alias("told"), F.count_if(told & ~known & (F.length("value") >= 4)).alias("added"))
-    rows = rows.join(overlap_f1(pairs, 1).withColumnRenamed("f1", "tokens"), "pair").join(overlap_f1(pairs, 4).withColumnRenamed("f1", "grams"), "pair").join(sums, "pair", "left").na.fill(0, ["facts", "told", "added"])
+    rows = rows.join(sums, "pair", "left").na.fill(0, ["facts", "told", "added"])
     ratio = F.greatest(word_count(F.col("text")), F.lit(1)) / F.greatest(word_count(F.col("base_text")), F.lit(1))
     order = F.lit(0.0) if keep_order else 1.8 * (slot_order_score(F.col("caption_pedestrian"), "pedestrian") + slot_order_score(F.col("caption_vehicle"), "vehicle")) / 2
     score = (
